@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op2_language_id
 from .packing import op1_packing
+from .simhash import op10_simhash
+from .substring_dedup import op3_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing,
+        op2_language_id,
+        op3_substring_dedup,
         op4_token_files,
+        op10_simhash,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
