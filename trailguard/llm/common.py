@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null doc_id inside the operators: it sorts first, as null does, and is a key that joins.
 NULL_ID = -(2**63)
@@ -52,13 +53,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Only for callers that have written what was computed from them."""
+def scratch_tables() -> list[str]:
+    return list(_scratch)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. Only for callers that have written all that is computed from them."""
     jvm = spark.sparkContext._jvm
-    for path in _scratch:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _scratch.clear()
+        _scratch.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -74,6 +79,16 @@ def unkey(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def with_row(docs: DataFrame, *more: str) -> T.StructType:
+    """The schema (row, a struct of all columns of docs, and the DDL columns `more`): what operators add can't clash with
+    columns of the documents."""
+    return T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL(", ".join(more)).fields])
+
+
+def as_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of whole rows with about `limit` bytes of text, so that memory in a task doesn't
     depend on how long the texts of a batch are. Null texts become empty."""

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_row, table, with_row
 
 UNKNOWN = "und"
 SAMPLE, EXCERPT, DICTIONARY = 400, 2000, 96 << 10
@@ -94,23 +94,22 @@ def has_letters(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """All columns of docs (with text) and lang_pred, score, margin, rejected."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double, margin double, rejected boolean"
+    """row (all columns of docs), lang_pred, score, margin, rejected."""
+    schema = with_row(docs, "lang_pred string", "score double", "margin double", "rejected boolean")
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages x dictionary bytes
-    at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value)
         for batch in batches:
             found = []
-            for text, lettered in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, lettered in zip(batch.column(0).field("text"), batch.column(1).to_pylist(), strict=True):
                 found.append(classifier.predict(letters(text.as_py())) if lettered and model.value else (UNKNOWN, 0.0, 0.0))
             lang, score, far = zip(*found, strict=True) if found else ((), (), ())
             out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64())]
             out.append(pa.array([l == UNKNOWN or m < margin for l, m in zip(lang, far, strict=True)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:-1]) + out, names=[*batch.schema.names[:-1], "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], schema.names)
 
-    return docs.select("*", has_letters(F.col("text")).alias("_lettered")).mapInArrow(rows, schema)
+    return docs.select(as_row(docs), has_letters(F.col("text")).alias("lettered")).mapInArrow(rows, schema)
 
 
 def bucket(name: str, n: int) -> Column:
@@ -122,4 +121,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = learn(docs.where(bucket("doc_id", 5) != 0).select("text", "lang"))
     found = identify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return found.select("row.doc_id", (bucket("row.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")

@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP6_SQL, op6_chat_format
+from .class_lm import op9_class_lm
+from .decontaminate import OP5_SQL, op5_decontaminate
+from .fingerprints import op7_fingerprints
 from .language_id import op2_language_id
+from .license_scan import op8_license_scan
 from .packing import op1_packing
 from .simhash import op10_simhash
 from .substring_dedup import op3_substring_dedup
@@ -19,7 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_substring_dedup,
         op4_token_files,
+        op5_decontaminate,
+        op6_chat_format,
+        op7_fingerprints,
+        op8_license_scan,
+        op9_class_lm,
         op10_simhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL}

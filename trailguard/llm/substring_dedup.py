@@ -28,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NOT_SPACE, Runs, Words, blocks, key, mix, save, signed, table, unkey
 
@@ -136,8 +138,8 @@ def segments(words: Words, window: int, rounds: int) -> dict[str, np.ndarray]:
     return {"text": text[start], "start": start - words.first[text[start]], "n": count, "anchor": signed(anchor), "segment": signed(segment)}
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(key().alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text")
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(key().alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text", *more)
 
 
 ANCHORS = "anchor long, segment long, d long, h long, start int, n int"
@@ -153,36 +155,41 @@ def find_segments(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
     return keyed.mapInArrow(rows, ANCHORS)
 
 
-def with_spans(keyed: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts, compressed for the shuffle, and lists of the spans (start, n) of each text that has any."""
+def packed(keyed: DataFrame) -> DataFrame:
+    """The texts compressed for the shuffle, with what else stands beside them."""
+    schema = T.StructType([T.StructField("packed", T.BinaryType()) if f.name == "text" else f for f in keyed.schema.fields])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block in blocks(batches):
-            texts = [squeeze(x.as_py().encode()) for x in block.column(2)]
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(texts, pa.binary())], ["d", "h", "packed"])
+        for batch in batches:
+            texts = [squeeze(x.as_py().encode()) if x.is_valid else None for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary()), *batch.columns[3:]], schema.names)
+
+    return keyed.mapInArrow(rows, schema)
 
-    packed = keyed.mapInArrow(pack, "d long, h long, packed binary")
-    lists = spans.groupBy("d", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    return packed, lists
+
+def lists(spans: DataFrame) -> DataFrame:
+    """The spans of a text as lists: never more than it has words."""
+    return spans.groupBy("d", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (d, h, packed, starts, ns) with the text in the place of what it was packed to, in bounded blocks."""
+    """Batches of (d, h, packed, ...) with the text (null: empty) in the place of what it was packed to, in bounded
+    blocks."""
     grow = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            text = pa.array([grow(x.as_py()) for x in part.column(2)], pa.binary()).cast(pa.string())
-            yield from blocks(iter([pa.RecordBatch.from_arrays([*part.columns[:2], text, *part.columns[3:]], ["d", "h", "text", "starts", "ns"])]))
+            text = pa.array([grow(x.as_py()) if x.is_valid else b"" for x in part.column(2)], pa.binary()).cast(pa.string())
+            names = [*part.schema.names[:2], "text", *part.schema.names[3:]]
+            yield from blocks(iter([pa.RecordBatch.from_arrays([*part.columns[:2], text, *part.columns[3:]], names)]))
 
 
 def _expand(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the block, start and n of every span."""
-    lists = block.column(3)
-    counts = np.array([len(x) if x.is_valid else 0 for x in lists])
-    rows = np.repeat(np.arange(block.num_rows), counts)
-    starts, ns = (np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in block.column(c) if x.is_valid)]).astype(np.int64) for c in (3, 4))
+    starts, ns = block.column("starts"), block.column("ns")
+    rows = np.repeat(np.arange(block.num_rows), [len(x) if x.is_valid else 0 for x in starts])
+    starts, ns = (np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in c if x.is_valid)]).astype(np.int64) for c in (starts, ns))
     return rows, starts, ns
 
 
@@ -199,8 +206,7 @@ def find_windows(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
             place = at - words.first[row]
             yield pa.RecordBatch.from_arrays([pa.array(signed(r.hash(at, at + window))) for r in (run, other)] + [pa.array(block.column(i).to_numpy()[row]) for i in (0, 1)] + [pa.array(place.astype(np.int32))], ["w1", "w2", "d", "h", "start"])
 
-    packed, lists = with_spans(keyed, spans)
-    return packed.join(lists, ["d", "h"]).mapInArrow(rows, "w1 long, w2 long, d long, h long, start int")
+    return packed(keyed).join(lists(spans), ["d", "h"]).mapInArrow(rows, "w1 long, w2 long, d long, h long, start int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -222,9 +228,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     return later.union(single)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, keep_text: bool = True) -> DataFrame:
-    """d, h, n_words, n_removed, kept_sha256 of every row, and with keep_text the words kept, joined by one space."""
-    keyed = _keyed(docs)
+def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, keep_rows: bool = True) -> DataFrame:
+    """d, h, n_words, n_removed, kept_sha256 (of the words kept, joined by one space) of every row; with keep_rows also
+    row: all columns of docs, the text of rows that lost words replaced by the words kept."""
+    others = [c for c in docs.columns if c != "text"]
+    keyed = _keyed(docs, *[F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] * keep_rows)
+    schema = T.StructType.fromDDL("d long, h long, n_words long, n_removed long, kept_sha256 string, kept string")
+    if keep_rows:
+        schema = T.StructType([*schema.fields, keyed.schema["rest"]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _texts(batches):
@@ -242,20 +253,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 if gone:
                     kept = [w for w, k in zip(kept, keep[a:b].tolist(), strict=True) if k]
                 kept = b" ".join(kept)
-                out.append((b - a, gone, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else ())))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)]
-            if keep_text:
-                columns[3] = columns[3].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*block.columns[:2], *columns], names)
-
-    names = ["d", "h", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
+                out.append((b - a, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if gone and keep_rows else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            if keep_rows:  # texts that lost nothing stay as they are
+                columns[3] = pc.coalesce(columns[3], block.column(2))
+                columns.append(block.column("rest"))
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], *columns], schema.names)
+
     spans = save(repeats(docs, window, rounds), "repeats")
-    packed, lists = with_spans(keyed, spans)
-    schema = "d long, h long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return packed.join(lists, ["d", "h"], "left").mapInArrow(rows, schema)
+    found = packed(keyed).join(lists(spans), ["d", "h"], "left").mapInArrow(rows, schema)
+    if not keep_rows:
+        return found.drop("kept")
+    columns = [F.col("kept").alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns]
+    return found.withColumn("row", F.struct(*columns)).drop("kept", "rest")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep_rows=False)
     return found.select(unkey("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
