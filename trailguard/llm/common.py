@@ -94,16 +94,16 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str
     depend on how long the texts of a batch are. Null texts become empty."""
     for batch in batches:
         at = batch.schema.names.index(column)
-        text = batch.column(at)
-        if text.type != pa.string():
-            text = text.cast(pa.string())
-        batch = batch.set_column(at, column, pc.fill_null(text, ""))
-        size = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).astype(np.int64))
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
         first = 0
         while first < batch.num_rows:
             before = size[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(size, before + limit, side="right")))
-            yield batch.slice(first, last - first)
+            part = batch.slice(first, last - first)
+            text = part.column(at)  # only a block's texts are copied, not the batch's
+            if text.type != pa.string():
+                text = text.cast(pa.string())
+            yield part.set_column(at, column, pc.fill_null(text, "") if text.null_count else text)
             first = last
 
 

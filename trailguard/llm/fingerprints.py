@@ -69,6 +69,9 @@ class Prefixes:
     def prefix(self, k: int) -> tuple[int, int]:
         return tuple(int(h[k]) for h in self.hashes)
 
+    def prefixes(self, k: np.ndarray) -> list[np.ndarray]:
+        return [h[k] for h in self.hashes]
+
     def span(self, a: int, b: int) -> tuple[int, int]:
         """The hash of the code points from a to before b, as if they stood at 0."""
         return tuple((int(h[b]) - int(h[a])) * pow(p.inverse, a, p.prime) % p.prime for h, p in zip(self.hashes, _POWERS, strict=True))
@@ -97,6 +100,12 @@ class Joined:
         head, tail = self.one.prefix(self.k), self.two.prefix(i - self.k)
         return tuple((h + t * pow(p.base, self.k, p.prime)) % p.prime for h, t, p in zip(head, tail, _POWERS, strict=True))
 
+    def prefixes(self, i: np.ndarray) -> list[np.ndarray]:
+        inside = i <= self.k
+        own, rest = self.one.prefixes(np.minimum(i, self.k)), self.two.prefixes(np.maximum(i - self.k, 0))
+        head = self.one.prefix(self.k)
+        return [np.where(inside, a, (b * np.uint64(pow(p.base, self.k, p.prime)) + np.uint64(h)) % np.uint64(p.prime)) for a, b, h, p in zip(own, rest, head, _POWERS, strict=True)]
+
     def span(self, a: int, b: int) -> tuple[int, int]:
         x, y = self.prefix(a), self.prefix(b)
         return tuple((v - u) * pow(p.inverse, a, p.prime) % p.prime for u, v, p in zip(x, y, _POWERS, strict=True))
@@ -112,11 +121,18 @@ def stride(n: int, marks: int = MARKS) -> int:
 def fingerprint(text: Prefixes | Joined, marks: int = MARKS) -> str:
     """n:whole:prefixes:suffixes in hex; a mark has the 32 lower bits of both primes' hashes mixed."""
     n, s = text.n, stride(text.n, marks)
-    word = lambda h: f"{(h[0] ^ h[1] * 0x9E3779B1) & 0xFFFFFFFF:08x}"
+    k = np.arange(s, n + 1, s)
+    word = lambda h: ((h[0] ^ h[1] * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
     whole = text.prefix(n)
-    heads = "".join(word(text.prefix(k)) for k in range(s, n + 1, s))
-    tails = "".join(word(text.span(n - k, n)) for k in range(s, n + 1, s))
-    return f"{n:x}:{whole[0]:08x}{whole[1]:08x}:{heads}:{tails}"
+    tails = []
+    for end, before, p in zip(whole, text.prefixes(n - k), _POWERS, strict=True):
+        # what moves the last k code points to the beginning: the inverse to the power n - k
+        step, moves = pow(p.base, s, p.prime), [pow(p.inverse, n, p.prime)]
+        for _ in range(len(k)):
+            moves.append(moves[-1] * step % p.prime)
+        prime = np.uint64(p.prime)
+        tails.append((np.uint64(end) + prime - before) % prime * np.array(moves[1:], np.uint64) % prime)
+    return f"{n:x}:{whole[0]:08x}{whole[1]:08x}:{word(text.prefixes(k))}:{word(tails)}"
 
 
 def likeness(a: str, b: str, marks: int = MARKS) -> float:
