@@ -86,12 +86,15 @@ def session_taints(log: DataFrame, settings: Settings, feed: DataFrame | None =
 
 def decide(log: DataFrame, settings: Settings, feed: DataFrame | None = None) -> DataFrame:
     """A row per event that could trip: states of the legs, first overlap, whether content is bound, verdict, confidence,
-    recommended action, reason. log: from `prepare`."""
+    recommended action, reason. log: from `prepare`.
+
+    Secrets' forms and the legs' states feed several joins, so both are persisted (and spill to disk); they are far
+    smaller than the log."""
     keys = ["session_id", "n"]
-    states = leg_states(log, settings.leg_ttl_s, settings.decay_after_calls)
+    states = leg_states(log, settings.leg_ttl_s, settings.decay_after_calls).persist()
     sinks = log.where("can_trip").select(*keys, F.col("text"), "payload", "syscall")
     compared = sinks.where("coalesce(syscall, '') <> 'openat' and text is not null and text <> ''")
-    found = forms(session_taints(log, settings, feed))
+    found = forms(session_taints(log, settings, feed)).persist()
     hits = overlaps(compared.select(*keys, "text", "payload"), found)
     lit = states.where("source_lit > 0 and untrusted_lit > 0 and sink_lit > 0").select(*keys, F.col("untrusted_lit").alias("epoch"))
     bound = content_bound(sinks.join(lit, keys), excerpts(log.where("lights_untrusted"), states), settings.content_bind_min_len)
