@@ -213,7 +213,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     """Spans (d, h, start, n): the n windows from word `start` on occur earlier too."""
     keyed = _keyed(docs)
     found = find_segments(keyed, window, rounds)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # tables of their own, so that the sides of the joins with hot anchors and windows are plain shuffles, which split
+    again = save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "again")
     shared = save(found.join(again, "anchor"), "shared")
     place = F.struct("d", "start")
     by_anchor = save(shared.groupBy("anchor").agg(F.min("segment").alias("s0"), F.max("segment").alias("s1")).where("s0 != s1").select("anchor"), "mixed")
@@ -223,7 +224,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     # of rows with one doc_id and one text all are read: which is first doesn't matter
     unsure = shared.join(mixed, "segment").where("d = fd and start = fs").select("d", "h", "start", "n")
     windows = save(find_windows(keyed, save(unsure, "unsure"), window), "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2", "first")
+    earliest = save(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2", "first"), "earliest")
     single = windows.join(earliest, ["w1", "w2"]).where(F.struct("d", "start") > F.col("first")).select("d", "h", "start", F.lit(1).alias("n"))
     return later.union(single)
 
