@@ -9,6 +9,7 @@ from trailguard.operators import bind, detect, enrich, overlap, scenarios, taint
 from trailguard.plans.agent_log import SETTINGS
 from trailguard.schemas import EVIDENCE
 from trailguard.sources import writers
+from trailguard.tables import cut
 
 from .scenarios import COLUMNS, SCENARIOS, SECRET, rows
 
@@ -19,12 +20,12 @@ DEFAULTS = dataclasses.replace(SETTINGS, leg_ttl_s=1800)
 def log(spark):
     raw = enrich.first_event(spark.createDataFrame(rows(), COLUMNS))
     tagged = enrich.resolve_tags(raw, tool_tags(spark, DEFAULTS), server_tags(spark, DEFAULTS))
-    return detect.prepare(tagged, DEFAULTS).cache()
+    return cut(detect.prepare(tagged, DEFAULTS))
 
 
 @pytest.fixture(scope="module")
 def decisions(log):
-    return detect.decide(log, DEFAULTS).cache()
+    return cut(detect.decide(log, DEFAULTS))
 
 
 def test_every_scenario_gives_its_verdicts(decisions):
@@ -56,7 +57,7 @@ def test_confusion_matrix(spark, decisions):
 
 def test_evidence_is_redacted_and_has_its_schema(spark, log, decisions, tmp_path):
     found = taint.forms(detect.session_taints(log, DEFAULTS))
-    e = detect.evidence(decisions, log, found)
+    e = cut(detect.evidence(decisions, log, found))
     want = spark.createDataFrame([], EVIDENCE).schema
     assert [f.name for f in e.schema] == [f.name for f in want]
     got = {r["session_id"]: r for r in e.collect()}

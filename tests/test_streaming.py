@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trailguard.config import server_tags, tool_tags
 from trailguard.operators import detect, enrich
 from trailguard.plans.agent_log import SETTINGS
+from trailguard.tables import cut
 from trailguard.streaming.sessions import Dimensions, detect_stream, late_rows, session_ends
 
 from .scenarios import COLUMNS, START, rows
@@ -16,17 +17,15 @@ FIELDS = ["session_id", "n", "ts", "kind", "tool_name", "source", "text", "light
 
 def test_stream_equals_batch(spark, tmp_path):
     raw = enrich.first_event(spark.createDataFrame(rows(), COLUMNS)).where("plane = 'tool'")
-    log = detect.prepare(enrich.resolve_tags(raw, tool_tags(spark, PLAIN), server_tags(spark, PLAIN)), PLAIN).cache()
+    log = detect.prepare(enrich.resolve_tags(raw, tool_tags(spark, PLAIN), server_tags(spark, PLAIN)), PLAIN)
     # the stream knows the raw stage and binding; the sessions that need others stay out
     log = log.where("session_id not in ('three_layers', 'gzip', 'split_in_args', 'split_over_results')")
+    log = cut(log)
     want = {(r["session_id"], r["n"], r["verdict"]) for r in detect.decide(log, PLAIN).where("verdict is not null").collect()}
-    parts = sorted({r["n"] for r in log.select("n").distinct().collect()})
-    half = len(parts) // 2
     src = str(tmp_path / "in")
     events = log.select(*FIELDS)
-    for i, keep in enumerate((F.col("n") <= 2, F.col("n") > 2)):
+    for keep in (F.col("n") <= 2, F.col("n") > 2):
         events.where(keep).coalesce(1).write.mode("append").parquet(src)
-        assert half >= 0 and i < 2
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = detect_stream(stream, PLAIN, "1 day").writeStream.format("memory").queryName("decisions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import redact, result_text
+from ..tables import cut
 from .bind import content_bound
 from .legs import excerpts, leg_states
 from .overlap import overlaps
@@ -88,13 +89,13 @@ def decide(log: DataFrame, settings: Settings, feed: DataFrame | None = None) ->
     """A row per event that could trip: states of the legs, first overlap, whether content is bound, verdict, confidence,
     recommended action, reason. log: from `prepare`.
 
-    Secrets' forms and the legs' states feed several joins, so both are persisted (and spill to disk); they are far
-    smaller than the log."""
+    What feeds several joins, the legs' states, the secrets' forms and the texts to compare, is computed once and cut off
+    from its lineage; each is far smaller than the log."""
     keys = ["session_id", "n"]
-    states = leg_states(log, settings.leg_ttl_s, settings.decay_after_calls).persist()
-    sinks = log.where("can_trip").select(*keys, F.col("text"), "payload", "syscall")
+    states = cut(leg_states(log, settings.leg_ttl_s, settings.decay_after_calls))
+    sinks = cut(log.where("can_trip").select(*keys, F.col("text"), "payload", "syscall"))
     compared = sinks.where("coalesce(syscall, '') <> 'openat' and text is not null and text <> ''")
-    found = forms(session_taints(log, settings, feed)).persist()
+    found = cut(forms(session_taints(log, settings, feed)))
     hits = overlaps(compared.select(*keys, "text", "payload"), found)
     lit = states.where("source_lit > 0 and untrusted_lit > 0 and sink_lit > 0").select(*keys, F.col("untrusted_lit").alias("epoch"))
     bound = content_bound(sinks.join(lit, keys), excerpts(log.where("lights_untrusted"), states), settings.content_bind_min_len)

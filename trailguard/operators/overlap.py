@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEPTH, LEAST_BYTES, MOST_BYTES, SINGLE, as_bytes, decode_layers, grams, inflated, json_leaves, plausible
+from ..tables import cut
 
 #: Characters by which forms and sinks are joined; extracted secrets have more.
 ANCHOR = 12
@@ -89,11 +90,11 @@ def overlaps(sinks: DataFrame, forms: DataFrame, decode: bool = True, plan: str
     keys = ["session_id", "n"]
     hits = _earliest(raw_hits(sinks, forms, plan).unionByName(gzip_hits(sinks, forms)))
     if decode:
-        # each stage's hits and what it leaves are used twice: kept, so that no stage runs again for the next
-        hits = hits.persist()
-        left = sinks.join(hits, keys, "left_anti").persist()
-        joined = reassembled_hits(left.where("not payload"), forms, plan).persist()
-        hits = hits.unionByName(joined).unionByName(decoded_hits(left.join(joined, keys, "left_anti"), forms))
+        # each stage's hits and what it leaves are used twice: cut off, so that no stage runs again for the next
+        hits = cut(hits)
+        left = sinks.join(hits, keys, "left_anti")
+        joined = cut(reassembled_hits(left.where("not payload"), forms, plan))
+        hits = hits.unionByName(joined).unionByName(cut(decoded_hits(left.join(joined, keys, "left_anti"), forms)))
     found = F.when(F.col("payload"), "egress payload").otherwise("sink args")
     return hits.join(sinks.select(*keys, "payload"), keys).withColumn("where_found", found).drop("payload")
 
