@@ -17,6 +17,7 @@ from ..operators import detect, enrich, metrics, overlap, scenarios, taint
 from ..operators.bind import content_bound
 from ..operators.legs import excerpts, leg_states
 from ..sources import readers, writers
+from ..tables import cut
 from .agent_log import AGENT_LOG_SQL, SETTINGS, agent_log, events
 from .oracle import MASK, sql
 
@@ -172,15 +173,19 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     detail = F.when(F.col("lights_source"), F.concat(F.lit("tool "), "tool_name", F.lit(" returned sensitive data"))).when(F.col("lights_untrusted"), F.concat(F.lit("untrusted content from tool result (tool="), "tool_name", F.lit(")"))).when(sink, F.concat(F.lit("external sink tool "), "tool_name", F.lit(" invoked")))
     label = F.when(F.col("kind") == "result", F.concat("tool_name", F.lit(" result returned"))).when(F.col("kind") == "request", F.concat("tool_name", F.lit(" called")))
-    return log.withColumns({"plane": F.lit("tool"), "seq": F.col("n"), "source": F.concat_ws("/", "server_id", "tool_name"), "detail": detail, "label": label, "can_trip": sink, "payload": F.lit(False), "syscall": none("string"), "dest_ip": none("string"), "dest_port": none("int"), "pid": none("int"), "comm": none("string"), "path": none("string")})
+    return cut(log.withColumns({"plane": F.lit("tool"), "seq": F.col("n"), "source": F.concat_ws("/", "server_id", "tool_name"), "detail": detail, "label": label, "can_trip": sink, "payload": F.lit(False), "syscall": none("string"), "dest_ip": none("string"), "dest_port": none("int"), "pid": none("int"), "comm": none("string"), "path": none("string")}))
 
 
-def _decisions(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame:
+def _taint_of(log: DataFrame) -> DataFrame:
+    return taint.taints(log.where("lights_source").select("session_id", "n", "source", "text"), SETTINGS.patterns, reassemble=False)
+
+
+def _decisions(log: DataFrame) -> DataFrame:
     """Verdicts by the plain stages: raw overlap and binding."""
     keys = ["session_id", "n"]
     sinks = log.where("can_trip")
-    states = leg_states(log, SETTINGS.leg_ttl_s, SETTINGS.decay_after_calls)
-    hits = overlap.raw_hits(sinks.where("text is not null").select(*keys, "text"), taint.forms(_taint(spark, sf_dir)), "contains")
+    states = cut(leg_states(log, SETTINGS.leg_ttl_s, SETTINGS.decay_after_calls))
+    hits = overlap.raw_hits(sinks.where("text is not null").select(*keys, "text"), taint.forms(_taint_of(log)), "contains")
     lit = states.where("source_lit > 0 and untrusted_lit > 0 and sink_lit > 0").select(*keys, F.col("untrusted_lit").alias("epoch"))
     bound = content_bound(sinks.select(*keys, "text").join(lit, keys), excerpts(log.where("lights_untrusted"), states))
     rows = sinks.select(*keys, "ts", "plane", "kind", "text", *[c for c in detect.CALL]).join(states, keys).join(hits, keys, "left").join(bound.withColumn("bound", F.lit(True)), keys, "left")
@@ -191,18 +196,18 @@ def _decisions(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame:
 
 @query("SELECT session_id, n, coalesce(verdict, 'none') AS verdict, match_form FROM verdicts", "verdicts")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir, _prepared(spark, sf_dir)).select("session_id", "n", F.coalesce("verdict", F.lit("none")).alias("verdict"), "match_form")
+    return _decisions(_prepared(spark, sf_dir)).select("session_id", "n", F.coalesce("verdict", F.lit("none")).alias("verdict"), "match_form")
 
 
 @query("SELECT session_id, n, verdict, action, CAST(confidence AS DOUBLE) AS confidence, 'trifecta ' || verdict || ': send_message' AS reason FROM trips", "trips")
 def recommended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir, _prepared(spark, sf_dir)).where("verdict is not null").select("session_id", "n", "verdict", "action", "confidence", "reason")
+    return _decisions(_prepared(spark, sf_dir)).where("verdict is not null").select("session_id", "n", "verdict", "action", "confidence", "reason")
 
 
 @query("SELECT e.session_id, e.n, CASE WHEN t.action = 'prevented' THEN 'blocked' ELSE 'forwarded' END AS decision, CASE WHEN t.action = 'prevented' THEN 'trifecta ' || t.verdict || ': send_message' END AS block_reason FROM agent_log e LEFT JOIN trips t USING (session_id, n)", "trips")
 def annotated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _prepared(spark, sf_dir)
-    return detect.annotate(log, _decisions(spark, sf_dir, log)).select("session_id", "n", "decision", "block_reason")
+    return detect.annotate(log, _decisions(log)).select("session_id", "n", "decision", "block_reason")
 
 
 @query("""SELECT t.session_id, t.n AS trip_n, row_number() OVER (PARTITION BY t.session_id, t.n ORDER BY e.n) AS timeline_seq, e.n AS ref,
@@ -211,7 +216,7 @@ CASE WHEN e.n = t.source_lit THEN 'sensitive_source_touched: tool ' || e.tool_na
 FROM trips t JOIN agent_log e ON e.session_id = t.session_id AND e.n <= t.n AND e.kind <> 'syscall'""", "trips")
 def evidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _prepared(spark, sf_dir)
-    trips = _decisions(spark, sf_dir, log).where("verdict is not null")
+    trips = cut(_decisions(log).where("verdict is not null"))
     rows = detect.timeline(trips, log).select("session_id", F.col("n").alias("trip_n"), F.explode("timeline").alias("t"))
     return rows.select("session_id", "trip_n", F.col("t.timeline_seq").cast("long").alias("timeline_seq"), F.col("t.ref").cast("long").alias("ref"), F.col("t.label").alias("label"))
 
@@ -229,7 +234,7 @@ def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _prepared(spark, sf_dir)
-    return detect.evidence(_decisions(spark, sf_dir, log), log, taint.forms(_taint(spark, sf_dir)))
+    return detect.evidence(cut(_decisions(log)), log, taint.forms(_taint_of(log)))
 
 
 @query("SELECT session_id, trip_ts_ns, verdict, CAST(confidence AS DOUBLE) AS confidence, source_lit AS source_seq, untrusted_lit AS untrusted_seq, tainted_hash, preview, match_form FROM trips", "trips")
@@ -266,7 +271,7 @@ def deliveries_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM agent_log e LEFT JOIN (SELECT session_id, count(*) AS trips, max_by(confidence, n) AS confidence FROM trips GROUP BY 1) t USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS taints FROM taint GROUP BY 1) x USING (session_id) GROUP BY e.session_id""", "trips")
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _prepared(spark, sf_dir)
-    return metrics.session_summary(log, _decisions(spark, sf_dir, log), _taint(spark, sf_dir))
+    return metrics.session_summary(log, _decisions(log), _taint_of(log))
 
 
 _RUNS = "runs AS (SELECT session_id, ts, n, sum(new) OVER (PARTITION BY session_id ORDER BY n) AS run FROM (SELECT session_id, ts, n, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY n) > 86400000000 OR n = 1 THEN 1 ELSE 0 END AS new FROM agent_log)), idle AS (SELECT session_id, run, min(ts) AS first_event, max(ts) AS last_event, count(*) AS events, max(ts) + INTERVAL 1 DAY AS expires FROM runs GROUP BY session_id, run)"
@@ -340,7 +345,7 @@ def tool_shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT session_id, trip_ts_ns, verdict FROM trips ORDER BY trip_ts_ns DESC, n DESC LIMIT 500", "trips")
 def evidence_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trips = _decisions(spark, sf_dir, _prepared(spark, sf_dir)).where("verdict is not null")
+    trips = _decisions(_prepared(spark, sf_dir)).where("verdict is not null")
     rows = trips.select("session_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("trip_ts_ns"), "verdict", F.col("n").alias("id"))
     return metrics.retain(rows, 500).drop("id")
 
