@@ -164,7 +164,8 @@ def edit_half(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranges = 4 * shuffle_partitions(spark)
     keyed = docs.select(key().alias("d"), "text")
-    bounds = sorted({int(x) for x in keyed.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.1 / ranges) or []})
+    # a sketch of bounded size: with a great many ranges their sizes differ a little more
+    bounds = sorted({int(x) for x in keyed.approxQuantile("d", [i / ranges for i in range(1, ranges)], max(0.1 / ranges, 1e-5)) or []})
     cuts = spark.sparkContext.broadcast(bounds)  # fewer than ranges
 
     @F.pandas_udf("int")

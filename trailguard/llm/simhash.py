@@ -4,9 +4,9 @@ A 64-bit fingerprint of a document has a bit set where over half of its word shi
 fingerprints that differ in at most 2r bits have a value in common within r bits of both, so every distinct fingerprint
 emits all values within half the radius, the shuffle brings equal values together, and neighbours in the order of a
 value's fingerprints are linked after a count of differing bits. All fingerprints at a value are within half the radius of
-it, so within the radius of each other, and these links join what all pairs would join. The radius is even. Links are between distinct fingerprints
-only: copies share one. Groups are the connected components of the links, by rounds of hooking to the least neighbour
-under a fresh random order and contraction, every round a table in the shared folder.
+it, so within the radius of each other, and these links join what all pairs would join. The radius is even. Links are
+between distinct fingerprints only: copies share one. Groups are the connected components of the links, by rounds of
+hooking to the least neighbour under a fresh random order and contraction, every round a table in the shared folder.
 
 Null and empty texts have no words and the fingerprint zero, linked like any other; a null doc_id counts as the smallest;
 rows with one doc_id are documents of their own; an empty table gives no rows.
