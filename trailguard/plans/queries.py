@@ -39,17 +39,17 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.resolve_tags(agent_log(spark, sf_dir), tool_tags(spark, SETTINGS), server_tags(spark, SETTINGS))
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tagged(spark, sf_dir).where("kind = 'result' and is_source")
+def _sources(log: DataFrame) -> DataFrame:
+    rows = log.where("kind = 'result' and is_source")
     return rows.select("session_id", "n", F.concat_ws("/", "server_id", "tool_name").alias("source"), "text")
 
 
-def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir).where("kind = 'request' and is_sink and text is not null").select("session_id", "n", "text")
+def _sinks(log: DataFrame) -> DataFrame:
+    return log.where("kind = 'request' and is_sink and text is not null").select("session_id", "n", "text")
 
 
-def _taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.taints(_sources(spark, sf_dir), SETTINGS.patterns, reassemble=False)
+def _taint(log: DataFrame) -> DataFrame:
+    return taint.taints(_sources(log), SETTINGS.patterns, reassemble=False)
 
 
 def _lit(log: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def tag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT session_id, n, pattern, pos, sha256(value) AS hash, {MASK.format('value')} AS preview FROM found", "found")
 def secret_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sources(spark, sf_dir).select("session_id", "n", F.explode(secrets("text", SETTINGS.patterns)).alias("s"))
+    rows = _sources(_tagged(spark, sf_dir)).select("session_id", "n", F.explode(secrets("text", SETTINGS.patterns)).alias("s"))
     return rows.select("session_id", "n", F.col("s.pattern").alias("pattern"), F.col("s.pos").cast("long").alias("pos"), sha256("s.value").alias("hash"), mask("s.value").alias("preview"))
 
 
@@ -87,20 +87,22 @@ def secret_extraction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT session_id, taint_n, form, sha256(form_value) AS form_hash, length(form_value) AS form_length FROM forms", "forms")
 def encoded_forms_of_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _taint(spark, sf_dir).select("session_id", F.col("n").alias("taint_n"), F.explode(encoded_forms("value")).alias("f"))
+    rows = _taint(_tagged(spark, sf_dir)).select("session_id", F.col("n").alias("taint_n"), F.explode(encoded_forms("value")).alias("f"))
     return rows.select("session_id", "taint_n", F.col("f.form").alias("form"), sha256("f.form_value").alias("form_hash"), F.length("f.form_value").cast("long").alias("form_length"))
 
 
 @query("SELECT session_id, n, tainted_hash, preview, match_form FROM hits", "hits")
 def overlap_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = taint.forms(_taint(spark, sf_dir))
-    return overlap.raw_hits(_sinks(spark, sf_dir), found, "contains").select("session_id", "n", "tainted_hash", "preview", "match_form")
+    log = cut(_tagged(spark, sf_dir))
+    found = taint.forms(_taint(log))
+    return overlap.raw_hits(_sinks(log), found, "contains").select("session_id", "n", "tainted_hash", "preview", "match_form")
 
 
 @query("SELECT session_id, n, tainted_hash, preview, match_form FROM hits", "hits")
 def overlap_first_hit_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = taint.forms(_taint(spark, sf_dir))
-    return overlap.raw_hits(_sinks(spark, sf_dir), found, "anchor").select("session_id", "n", "tainted_hash", "preview", "match_form")
+    log = cut(_tagged(spark, sf_dir))
+    found = taint.forms(_taint(log))
+    return overlap.raw_hits(_sinks(log), found, "anchor").select("session_id", "n", "tainted_hash", "preview", "match_form")
 
 
 @query("""
@@ -110,9 +112,10 @@ SELECT s.session_id, s.n, f.hash AS tainted_hash, f.preview, f.form AS match_for
 QUALIFY row_number() OVER (PARTITION BY s.session_id, s.n ORDER BY f.taint_n, f.form_ord) = 1
 """, "forms")
 def overlap_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = cut(_tagged(spark, sf_dir))
     split = F.format_string('{"a":"%s","b":"%s"}', F.substring("text", 1, 11), F.substr(F.col("text"), F.lit(12)))
-    sinks = _sinks(spark, sf_dir).withColumn("text", split)
-    return overlap.reassembled_hits(sinks, taint.forms(_taint(spark, sf_dir))).select("session_id", "n", "tainted_hash", "preview", "match_form")
+    sinks = _sinks(log).withColumn("text", split)
+    return overlap.reassembled_hits(sinks, taint.forms(_taint(log))).select("session_id", "n", "tainted_hash", "preview", "match_form")
 
 
 @query("""
@@ -126,11 +129,12 @@ SELECT s.session_id, s.n, f.hash AS tainted_hash, f.preview, s.match_form FROM l
 QUALIFY row_number() OVER (PARTITION BY s.session_id, s.n ORDER BY s.path, f.taint_n) = 1
 """, "forms")
 def overlap_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = cut(_tagged(spark, sf_dir))
     once = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")
-    rows = _tagged(spark, sf_dir).where("kind = 'request' and is_sink and text is not null")
+    rows = log.where("kind = 'request' and is_sink and text is not null")
     packed = F.when(F.col("event_id") % 2 == 0, once).otherwise(F.lower(F.hex(once)))
     sinks = rows.select("session_id", "n", packed.alias("text"), F.lit(False).alias("payload"))
-    return overlap.decoded_hits(sinks, taint.forms(_taint(spark, sf_dir))).select("session_id", "n", "tainted_hash", "preview", "match_form")
+    return overlap.decoded_hits(sinks, taint.forms(_taint(log))).select("session_id", "n", "tainted_hash", "preview", "match_form")
 
 
 _VIEWS = "SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'"
@@ -155,9 +159,9 @@ def fragment_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT session_id, n FROM all_bound", "all_bound")
 def content_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _tagged(spark, sf_dir)
+    log = cut(_tagged(spark, sf_dir))
     states = _states(log)
-    sinks = _sinks(spark, sf_dir).join(states.select("session_id", "n", F.col("untrusted_lit").alias("epoch")), ["session_id", "n"])
+    sinks = _sinks(log).join(states.select("session_id", "n", F.col("untrusted_lit").alias("epoch")), ["session_id", "n"])
     return content_bound(sinks, excerpts(_lit(log).where("lights_untrusted"), states))
 
 
@@ -228,8 +232,9 @@ for _form in ("l.secret", "base64(cast(l.secret AS blob))", "lower(hex(l.secret)
 
 @query(f"SELECT s.session_id, s.n, CASE WHEN l.secret IS NULL THEN s.text ELSE {_REPLACED} END AS text FROM agent_log s LEFT JOIN (SELECT a.session_id, a.n, b.secret FROM latest a JOIN base b ON b.session_id = a.session_id AND b.n = a.secret_n) l ON l.session_id = s.session_id AND l.n = s.n WHERE s.tool_name = 'send_message'", "agent_log")
 def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tagged(spark, sf_dir).where("is_sink and kind = 'request'").select("session_id", "n", "text")
-    return detect.redact_rows(rows, taint.forms(_taint(spark, sf_dir)), "text")
+    log = cut(_tagged(spark, sf_dir))
+    rows = log.where("is_sink and kind = 'request'").select("session_id", "n", "text")
+    return detect.redact_rows(rows, taint.forms(_taint(log)), "text")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,13 +427,14 @@ def trip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gzip_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks whose body is gzipped and in base64."""
+    log = cut(_tagged(spark, sf_dir))
 
     @F.pandas_udf("string")
     def squeeze(text: pd.Series) -> pd.Series:
         return text.map(lambda t: "data=" + base64.b64encode(gzip.compress(t.encode(), 9)).decode())
 
-    sinks = _sinks(spark, sf_dir).withColumn("text", squeeze("text"))
-    return overlap.gzip_hits(sinks, taint.forms(_taint(spark, sf_dir))).select("session_id", "n", "tainted_hash", "preview", "match_form")
+    sinks = _sinks(log).withColumn("text", squeeze("text"))
+    return overlap.gzip_hits(sinks, taint.forms(_taint(log))).select("session_id", "n", "tainted_hash", "preview", "match_form")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
