@@ -89,7 +89,7 @@ def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of whole rows with about `limit` bytes of text, so that memory in a task doesn't
     depend on how long the texts of a batch are. Null texts become empty."""
     for batch in batches:
