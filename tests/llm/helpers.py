@@ -58,8 +58,13 @@ def simhash(text, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def groups(prints, radius=2):
-    """{doc_id: smallest doc_id reachable} of {doc_id: fingerprint}."""
+def jaccard(a, b, n=5):
+    p, q = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in (space_words(a), space_words(b)))
+    return len(p & q) / (len(p | q) or 1)
+
+
+def groups(prints, radius=2, also=()):
+    """{doc_id: smallest doc_id reachable} of {doc_id: fingerprint} and other links."""
     parent = {i: i for i in prints}
 
     def find(i):
@@ -73,4 +78,23 @@ def groups(prints, radius=2):
             if (prints[i] ^ prints[j]).bit_count() <= radius:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
+    for i, j in also:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
     return {i: find(i) for i in ids}
+
+
+def similar(texts, least=0.8, n=5):
+    """Pairs of {doc_id: text} with a Jaccard similarity of at least that, by way of the shingles they share."""
+    of, has = {}, {}
+    for i, t in texts.items():
+        w = space_words(t)
+        of[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+        for s in of[i]:
+            has.setdefault(s, []).append(i)
+    common = {}
+    for ids in has.values():
+        for k, i in enumerate(ids):
+            for j in ids[k + 1 :]:
+                common[i, j] = common.get((i, j), 0) + 1
+    return [(i, j) for (i, j), c in common.items() if c >= least * (len(of[i]) + len(of[j]) - c)]

@@ -23,8 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, key, save, table, unkey
+from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, table, unkey
 
+#: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
+BANDS, ROWS = 16, 5
 _ASCII_LOWER = LOWER.tobytes()
 
 
@@ -45,15 +47,80 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc (the doc_id as a key), fp (the fingerprint as a signed long) of all documents (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 0) -> DataFrame:
+    """doc (the doc_id as a key), fp (the fingerprint as a signed long), sum (a hash of the text), bands (of shingles of
+    `words` words, where that isn't 0) of all documents (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fp = np.array([fingerprint(x.as_py().encode(), shingle) for x in block.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fp.view(np.int64))], ["doc", "fp"])
+            bands = band_hashes(block.column(1), words) if words else pa.nulls(block.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fp.view(np.int64)), block.column(2), bands], ["doc", "fp", "sum", "bands"])
+
+    return docs.select(key().alias("doc"), "text", F.xxhash64("text").alias("sum")).mapInArrow(rows, "doc long, fp long, sum long, bands array<long>")
+
+
+def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the texts (of fewer words: one of all its words; of none: none), and where each text's
+    begin (one more than texts)."""
+    w = Words(text, NOT_SPACE, lower=True)
+    n = np.diff(w.first)
+    count = np.where(n, np.maximum(n - words + 1, 1), 0)
+    at = np.append(0, np.cumsum(count))
+    start = np.repeat(w.first[:-1] - at[:-1], count) + np.arange(at[-1])
+    return Runs(w.hash).hash(start, np.minimum(start + words, np.repeat(w.first[1:], count))), at
+
+
+def band_hashes(text: pa.Array, words: int) -> pa.ListArray:
+    """For each text a hash of each band's least shingle hashes under ROWS functions; of a text without words, none."""
+    h, at = shingles(text, words)
+    some = np.flatnonzero(np.diff(at))
+    out = np.zeros((len(some), BANDS), np.uint64)
+    if len(some):
+        seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).reshape(BANDS, ROWS)
+        for band in range(BANDS):
+            name = np.full(len(some), band, np.uint64)
+            for seed in seeds[band]:
+                name = mix(name + np.minimum.reduceat((h ^ seed) * (seed | np.uint64(1)), at[some]))
+            out[:, band] = name
+    sizes = np.zeros(len(text), np.int64)
+    sizes[some] = BANDS
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(out.reshape(-1).view(np.int64)))
+
+
+def similar(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints of prints whose texts have a Jaccard similarity of shingles of at least that."""
+    banded = save(prints.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
+    picks = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", "band", F.lit(k))) for k in range(3)]))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), picks.alias("picks")).where("n > 1").drop("n")
+    members = save(banded.join(shared, "band"), "members")
+    owner = prints.groupBy("fp").agg(F.min(F.struct("doc", "sum")).alias("o")).select("fp", "o.doc", "o.sum")
+    wanted = members.select("fp").distinct().join(owner, "fp")
+    texts = docs.select(key().alias("doc"), F.xxhash64("text").alias("sum"), "text").join(wanted, ["doc", "sum"])
+    texts = save(texts.select("fp", "text").dropDuplicates(["fp"]), "texts")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            (x, at_x), (y, at_y) = (shingles(block.column(k).cast(pa.string()), words) for k in (2, 3))
+            near = np.zeros(block.num_rows, bool)
+            for k in range(block.num_rows):
+                p, q = np.unique(x[at_x[k] : at_x[k + 1]]), np.unique(y[at_y[k] : at_y[k + 1]])
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near[k] = common >= similarity * (len(p) + len(q) - common)
+            yield block.select(["a", "b"]).filter(pa.array(near))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other"), "b")
+        return save(both.select("a", "b", "text", "other").mapInArrow(linked, "a long, b long"), "near")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a != fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
 
-    return docs.select(key().alias("doc"), "text").mapInArrow(rows, "doc long, fp long")
+    first = save(ordered(members.select("fp", F.explode("picks").alias("a"))), "candidates")
+    near = verified(first)
+    degree = near.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").count()
+    hubs = members.join(degree, "fp").groupBy("band").agg(F.max_by("fp", F.struct("count", "fp")).alias("a"))
+    return near.union(verified(ordered(members.join(hubs, "band")).join(first, ["a", "b"], "left_anti")))
 
 
 def ball(bits: int) -> list[int]:
@@ -102,11 +169,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group, possibly its own)."""
-    prints = save(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group, possibly its own). With a
+    similarity, texts with that Jaccard similarity of shingles of `words` words, or more, are linked as well."""
+    prints = save(fingerprints(docs, shingle, 0 if similarity is None else words), "fingerprints")
     distinct = save(prints.groupBy("fp").agg(F.min("doc").alias("doc")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    edges = links(distinct.select("fp"), radius)
+    if similarity is not None:
+        edges = edges.union(similar(docs, prints, words, similarity)).distinct()
+    roots = components(edges)
     rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc").alias("component")), "least")
     groups = save(rooted.join(least, "root").select("fp", "component"), "groups")
