@@ -27,6 +27,8 @@ from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, table
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
+#: Texts of the sample that tells common shingles, and at most how many of these are ordered by frequency.
+SAMPLE, COMMON = 10_000, 500_000
 _ASCII_LOWER = LOWER.tobytes()
 
 
@@ -47,17 +49,23 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 0) -> DataFrame:
-    """doc (the doc_id as a key), fp (the fingerprint as a signed long), sum (a hash of the text), bands (of shingles of
-    `words` words, where that isn't 0) of all documents (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 0, similarity: float = 1.0) -> DataFrame:
+    """doc (the doc_id as a key), fp (the fingerprint as a signed long), sum (a hash of the text) of all documents (doc_id,
+    text). Where `words` isn't 0 also bands, size and prefix of their shingles of that many words."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words) if words else None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fp = np.array([fingerprint(x.as_py().encode(), shingle) for x in block.column(1)], np.uint64)
-            bands = band_hashes(block.column(1), words) if words else pa.nulls(block.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fp.view(np.int64)), block.column(2), bands], ["doc", "fp", "sum", "bands"])
+            columns = [block.column(0), pa.array(fp.view(np.int64)), block.column(2)]
+            if words:
+                h, at = shingles(block.column(1), words)
+                columns += [band_hashes(h, at), *prefixes(h, at, similarity, *common.value)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(key().alias("doc"), "text", F.xxhash64("text").alias("sum")).mapInArrow(rows, "doc long, fp long, sum long, bands array<long>")
+    schema = "doc long, fp long, sum long" + (", bands array<long>, size int, prefix array<long>" if words else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.select(key().alias("doc"), "text", F.xxhash64("text").alias("sum")).mapInArrow(rows, schema)
 
 
 def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +79,49 @@ def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return Runs(w.hash).hash(start, np.minimum(start + words, np.repeat(w.first[1:], count))), at
 
 
-def band_hashes(text: pa.Array, words: int) -> pa.ListArray:
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how many. They only set the order in which prefixes take
+    shingles: every order gives the same links, one by frequency the fewest candidates."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            h, at = shingles(block.column(0), words)
+            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
+
+    n = docs.count()
+    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))))
+    counts = picked.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
+    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefixes(h: np.ndarray, at: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each text the number n of its distinct shingles, and the first n - ceil(similarity * n) + 1 of them in the order
+    by frequency. Of two texts of at least that similarity, the prefixes have a shingle in common."""
+    h = h.view(np.int64)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[place] == h, count[place], 0)
+    order = np.lexsort((h, rank, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[new], text[new]
+    n = np.bincount(text, minlength=len(at) - 1)
+    take = np.where(n, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
+    inside = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(take, n)
+    return pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(h[inside]))
+
+
+def band_hashes(h: np.ndarray, at: np.ndarray) -> pa.ListArray:
     """For each text a hash of each band's least shingle hashes under ROWS functions; of a text without words, none."""
-    h, at = shingles(text, words)
     some = np.flatnonzero(np.diff(at))
     out = np.zeros((len(some), BANDS), np.uint64)
     if len(some):
@@ -83,21 +131,13 @@ def band_hashes(text: pa.Array, words: int) -> pa.ListArray:
             for seed in seeds[band]:
                 name = mix(name + np.minimum.reduceat((h ^ seed) * (seed | np.uint64(1)), at[some]))
             out[:, band] = name
-    sizes = np.zeros(len(text), np.int64)
+    sizes = np.zeros(len(at) - 1, np.int64)
     sizes[some] = BANDS
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(out.reshape(-1).view(np.int64)))
 
 
-def similar(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints of prints whose texts have a Jaccard similarity of shingles of at least that."""
-    banded = save(prints.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
-    picks = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", "band", F.lit(k))) for k in range(3)]))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), picks.alias("picks")).where("n > 1").drop("n")
-    members = save(banded.join(shared, "band"), "members")
-    owner = prints.groupBy("fp").agg(F.min(F.struct("doc", "sum")).alias("o")).select("fp", "o.doc", "o.sum")
-    wanted = members.select("fp").distinct().join(owner, "fp")
-    texts = docs.select(key().alias("doc"), F.xxhash64("text").alias("sum"), "text").join(wanted, ["doc", "sum"])
-    texts = save(texts.select("fp", "text").dropDuplicates(["fp"]), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) have at least that similarity."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -109,18 +149,54 @@ def similar(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -
                 near[k] = common >= similarity * (len(p) + len(q) - common)
             yield block.select(["a", "b"]).filter(pa.array(near))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other"), "b")
-        return save(both.select("a", "b", "text", "other").mapInArrow(linked, "a long, b long"), "near")
+    both = pairs.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other"), "b")
+    return save(both.select("a", "b", "text", "other").mapInArrow(linked, "a long, b long"), "near")
+
+
+def similar(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints of prints whose texts have a Jaccard similarity of shingles of at least that: most
+    of them, for few comparisons, so that `missed` has to compare only what these don't join."""
+    banded = save(prints.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
+    picks = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", "band", F.lit(k))) for k in range(3)]))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), picks.alias("picks")).where("n > 1").drop("n")
+    members = save(banded.join(shared, "band"), "members")
+    owner = prints.groupBy("fp").agg(F.min(F.struct("doc", "sum")).alias("o")).select("fp", "o.doc", "o.sum")
+    wanted = members.select("fp").distinct().join(owner, "fp")
+    texts = docs.select(key().alias("doc"), F.xxhash64("text").alias("sum"), "text").join(wanted, ["doc", "sum"])
+    texts = save(texts.select("fp", "text").dropDuplicates(["fp"]), "texts")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a != fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
 
     first = save(ordered(members.select("fp", F.explode("picks").alias("a"))), "candidates")
-    near = verified(first)
+    near = verified(first, texts, words, similarity)
     degree = near.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").count()
     hubs = members.join(degree, "fp").groupBy("band").agg(F.max_by("fp", F.struct("count", "fp")).alias("a"))
-    return near.union(verified(ordered(members.join(hubs, "band")).join(first, ["a", "b"], "left_anti")))
+    return near.union(verified(ordered(members.join(hubs, "band")).join(first, ["a", "b"], "left_anti"), texts, words, similarity))
+
+
+def missed(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between roots of fingerprints that are not joined yet, by all pairs of texts of at least the similarity.
+
+    Such texts have a shingle in common that is in the longer one's prefix and among the first n - ceil(2s / (1 + s) n) + 1
+    of the other's n; the first one in common also stands so early in both that enough shingles follow. Lists of texts
+    that have one root are left out before texts are paired."""
+    one = prints.where("size > 0").groupBy("sum").agg(F.first("fp").alias("fp"), F.first("size").alias("n"), F.first("prefix").alias("prefix"))
+    rooted = save(one.join(roots.toDF("fp", "root"), "fp", "left").select("sum", "n", F.coalesce("root", "fp").alias("root"), "prefix"), "prefixes")
+    lists = rooted.select("root", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = save(lists.where("least < most").select("h"), "mixed")
+    postings = save(rooted.select("sum", "n", "root", F.posexplode("prefix").alias("i", "h")).join(mixed, "h"), "postings")
+    x = postings.where(F.col("i") <= F.col("n") * (1 - 2 * similarity / (1 + similarity)) + 1e-6).toDF("h", "x", "n_x", "root_x", "i_x")
+    y = postings.toDF("h", "y", "n_y", "root_y", "i_y")
+    apart = F.col("root_x") != F.col("root_y")
+    sizes = (F.col("n_x") >= similarity * F.col("n_y") - 1e-6) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
+    rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6
+    pairs = save(x.join(y, (x["h"] == y["h"]) & apart & sizes & rest).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sum")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("sum"), "text").join(wanted, "sum").groupBy("sum").agg(F.first("text").alias("text"))
+    near = verified(pairs, save(texts, "texts"), words, similarity)
+    root = rooted.select("sum", "root")
+    return near.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def ball(bits: int) -> list[int]:
@@ -172,12 +248,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None, words: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group, possibly its own). With a
     similarity, texts with that Jaccard similarity of shingles of `words` words, or more, are linked as well."""
-    prints = save(fingerprints(docs, shingle, 0 if similarity is None else words), "fingerprints")
+    prints = save(fingerprints(docs, shingle) if similarity is None else fingerprints(docs, shingle, words, similarity), "fingerprints")
     distinct = save(prints.groupBy("fp").agg(F.min("doc").alias("doc")), "distinct")
     edges = links(distinct.select("fp"), radius)
     if similarity is not None:
         edges = edges.union(similar(docs, prints, words, similarity)).distinct()
     roots = components(edges)
+    if similarity is not None:
+        more = components(missed(docs, prints, roots, words, similarity))
+        own = distinct.select("fp").join(roots.toDF("fp", "root"), "fp", "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+        roots = own.join(more.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc").alias("component")), "least")
     groups = save(rooted.join(least, "root").select("fp", "component"), "groups")
