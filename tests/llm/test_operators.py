@@ -232,6 +232,28 @@ def test_license_scan(spark, sf_dir, docs, odd, none):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).collect() == []
 
 
+def test_license_scan_takes_all_notices_of_a_text(spark):
+    notices = [text for _, text, _ in license_scan.TEMPLATES]
+    r = random.Random(3)
+    words = " ".join(notices).split()
+    texts = [" ".join(notices), " ".join(reversed(notices)), " ".join(notices * 5), " ".join(r.choices(words, k=3000)) + " " + notices[-1]]
+    texts += [" ".join(r.choice(words) if r.random() < 0.1 else w for w in " ".join(r.sample(notices, 15)).split()) for _ in range(6)]
+    found = {r["doc_id"]: [(m["label"], m["first"], m["cover"]) for m in r["matches"]] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        w, want = h.alnum_words(text), []
+        for label, notice, phrases in license_scan.TEMPLATES:
+            t, best = h.alnum_words(notice), (0, 0)
+            for begin in range(1 - len(t), len(w)):
+                a, b = max(0, begin), begin + len(t)
+                cover = sum(x == y for x, y in zip(w[a:b], t[a - begin :])) / len(t)
+                inside = f" {' '.join(w[a:b])} "
+                if cover >= 0.8 and cover > best[0] and all(f" {' '.join(h.alnum_words(p))} " in inside for p in phrases):
+                    best = (cover, begin)
+            want += [(label, best[1], best[0])] if best[0] else []
+        assert found[i] == want
+    assert {m[0] for m in found[0]} == {label for label, _, _ in license_scan.TEMPLATES}
+
+
 def test_class_lm(spark, sf_dir, docs, odd, none):
     got = {r["doc_id"]: r for r in QUERIES["op9_class_lm"](spark, sf_dir).collect()}
     import zlib

@@ -1,10 +1,11 @@
 """License scan by a positional index of rare template words.
 
-Templates (license notices) are indexed by word: for each word the templates and positions where it stands. A document's
-words that are in the index are looked up, those of highest IDF first (document frequencies are counted over all
-documents); every pair of a word's place in the document and in a template votes for the place where the template would
-begin. For the places with most votes, and enough of them, the template is laid over the document there: the share of
-its words that agree is its cover, and every mandatory phrase must stand in the part that it covers.
+Templates (license notices) are indexed by word, each by so many of its words of highest IDF (document frequencies are
+counted over all documents) that a place where the rest agrees has too small a cover: a template of n words by
+n - ceil(COVER * n) + 1. Every place of such a word in a document, less its place in the template, is where the template
+may begin, and there it is laid over the document: the share of its words that agree is its cover, and every mandatory
+phrase must stand in the part that it covers. No passing place is left out, however many there are; of equal covers the
+first counts.
 
 Besides, base phrases are found wherever their words stand consecutively.
 
@@ -13,7 +14,8 @@ Null and empty texts have no words; rows with one doc_id are scanned each by its
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +45,8 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
     ("all-rights-reserved", "All rights reserved", ["all rights reserved"]),
 ]
-#: A template's share of agreeing words that makes its label, the votes it needs first (or all its words, if fewer), and
-#: how many of a document's index words of highest IDF vote before all others do.
-COVER, VOTES, RARE = 0.8, 3, 64
+#: A template's share of agreeing words that makes its label.
+COVER = 0.8
 
 
 def _words(text: str) -> np.ndarray:
@@ -59,13 +60,16 @@ class Index:
         self.labels = [label for label, _, _ in templates]
         self.words = [_words(text) for _, text, _ in templates]
         self.phrases = [[_words(p) for p in phrases] for _, _, phrases in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
-            for i, w in enumerate(words.tolist()):
-                self.postings[w].append((t, i))
-        self.vocabulary = np.array(sorted(self.postings), np.uint64)
+        self.vocabulary = np.unique(np.concatenate(self.words))
         frequency = frequency or {}
         self.idf = np.array([np.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.vocabulary.tolist()])
+        #: The (template, position) pairs that each opening word has, by its place in the vocabulary.
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            terms = np.searchsorted(self.vocabulary, words)
+            for i in np.argsort(-self.idf[terms], kind="stable")[: len(words) - math.ceil(COVER * len(words) - 1e-9) + 1].tolist():
+                self.postings[int(terms[i])].append((t, i))
+        self.opens = np.isin(np.arange(len(self.vocabulary)), list(self.postings))
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or -1."""
@@ -76,23 +80,27 @@ class Index:
     def scan(self, words: np.ndarray, places: np.ndarray, terms: np.ndarray) -> dict[int, tuple[float, int]]:
         """Best cover and place of each template that passes, in a document with index words `terms` at `places`."""
         best: dict[int, tuple[float, int]] = {}
-        order = np.argsort(-self.idf[terms], kind="stable")
-        # all places of the rarest words vote, whether they are few or many: the rest only adds to what these begin
-        rare = set(terms[order][:RARE].tolist())
-        votes: Counter = Counter()
-        vocabulary = self.vocabulary
-        for place, term in zip(places.tolist(), terms.tolist(), strict=True):
-            for t, i in self.postings[int(vocabulary[term])]:
-                if term in rare or (t, place - i) in votes:
-                    votes[t, place - i] += 1
-        for (t, begin), n in votes.items():
+        opening = self.opens[terms]
+        places, terms = places[opening], terms[opening]
+        begins: dict[int, list[np.ndarray]] = defaultdict(list)
+        for term in np.unique(terms).tolist():
+            at = places[terms == term]
+            for t, i in self.postings[term]:
+                begins[t].append(at - i)
+        for t, found in begins.items():
             template = self.words[t]
-            if n < min(VOTES, len(template)):
-                continue
-            a, b = max(0, begin), min(len(words), begin + len(template))
-            cover = float((words[a:b] == template[a - begin : b - begin]).sum()) / len(template)
-            if cover >= COVER and all(contains(words[a:b], p) for p in self.phrases[t]) and cover > best.get(t, (0, 0))[0]:
-                best[t] = (cover, begin)
+            n = len(template)
+            begin = np.unique(np.concatenate(found))
+            agree = np.zeros(len(begin), np.int64)
+            for i, w in enumerate(template):
+                at = begin + i
+                agree += (at >= 0) & (at < len(words)) & (words[np.clip(at, 0, len(words) - 1)] == w)
+            passing = np.flatnonzero(agree / n >= COVER)
+            for k in passing[np.argsort(-agree[passing], kind="stable")].tolist():
+                a, b = max(0, int(begin[k])), min(len(words), int(begin[k]) + n)
+                if all(contains(words[a:b], p) for p in self.phrases[t]):
+                    best[t] = (float(agree[k]) / n, int(begin[k]))
+                    break
         return best
 
 
