@@ -245,9 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None, words: int = 5) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group, possibly its own). With a
-    similarity, texts with that Jaccard similarity of shingles of `words` words, or more, are linked as well."""
+def grouped(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """doc, fp, sum as of fingerprints, and component (the smallest doc of its group, possibly its own). With a similarity,
+    texts with that Jaccard similarity of shingles of `words` words, or more, are linked as well."""
     prints = save(fingerprints(docs, shingle) if similarity is None else fingerprints(docs, shingle, words, similarity), "fingerprints")
     distinct = save(prints.groupBy("fp").agg(F.min("doc").alias("doc")), "distinct")
     edges = links(distinct.select("fp"), radius)
@@ -261,7 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     rooted = save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc").alias("component")), "least")
     groups = save(rooted.join(least, "root").select("fp", "component"), "groups")
-    return prints.join(groups, "fp").select(unkey("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), unkey("component").alias("component_id"))
+    return prints.join(groups, "fp").select("doc", "fp", "sum", "component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group, possibly its own)."""
+    return grouped(docs, shingle, radius, similarity, words).select(unkey("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), unkey("component").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
