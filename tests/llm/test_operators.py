@@ -119,6 +119,12 @@ def test_language_id(spark, sf_dir, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_id_learns_from_a_language_of_copies(spark):
+    copies = spark.range(40_000).select(F.concat(F.lit("word number "), F.element_at(F.array(*map(F.lit, ("one", "two", "three"))), (F.col("id") % 3 + 1).cast("int"))).alias("text"), F.lit("en").alias("lang"))
+    found = language_id.learn(copies.union(spark.createDataFrame([("ein anderer Satz", "de")], "text string, lang string")))
+    assert set(found) == {"de", "en"} and all(w in found["en"] for w in (b"one", b"two", b"three"))
+
+
 def test_substring_dedup(spark, sf_dir, docs, odd, none, twice):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in QUERIES["op3_substring_dedup"](spark, sf_dir).collect()}
     assert got == h.dedup(docs) and sum(x[1] for x in got.values()) > 0

@@ -5,7 +5,7 @@ compressed with every dictionary, in blocks, and the language whose dictionary m
 (relative to the smaller), the text is rejected.
 
 Learning reads a bounded sample of labelled rows: about `sample` documents per language, those whose hash is smallest
-under a threshold from the language's count, and of each an excerpt of at most `excerpt` characters, until a dictionary
+under a threshold from the language's count of distinct texts, and of each an excerpt of at most `excerpt` characters, until a dictionary
 has `dictionary` bytes. Prediction reads whole texts, and nothing but texts.
 
 Null texts and texts without letters are `und` with score 0, as is everything where no row is labelled. Rows with one
@@ -45,7 +45,8 @@ def letters(text: str) -> bytes:
 def learn(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries by language from rows (text, lang): at most languages x about `sample` excerpts reach the driver."""
     rows = labelled.where("lang is not null and length(trim(text)) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # distinct texts: however many copies there are, a threshold by hash takes a text or leaves it
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]), F.col("lang"))
