@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from trailguard.llm import chat_format, class_lm, decontaminate, fingerprints, language_id, license_scan, packing, simhash, substring_dedup, token_files
+from trailguard.llm import chat_format, class_lm, common, decontaminate, fingerprints, language_id, license_scan, packing, simhash, substring_dedup, token_files
 from trailguard.llm.common import scratch_path
 from trailguard.llm.queries import ORACLE_SQL, QUERIES
 
@@ -145,6 +145,51 @@ def test_substring_dedup_on_periodic_and_random_texts(spark):
     assert {r["d"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == h.dedup(docs, 7)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_are_patterns_of_two_letters_differ():
+    import numpy as np
+    import pyarrow as pa
+
+    words = [thue_morse(n, *ab) for n in (16, 64, 128, 1024, 2048, 4096) for ab in ("ab", "ba")]
+    found = common.Words(pa.array([" ".join(words)]), common.NOT_SPACE, False)
+    assert len(np.unique(found.hash)) == len(words) and [found.text(i).decode() for i in range(len(words))] == words
+    moved = common.Words(pa.array(["", "x " + " ".join(reversed(words))]), common.NOT_SPACE, False)
+    assert moved.hash[:0:-1].tolist() == found.hash.tolist()
+
+
+def test_substring_dedup_tells_long_words_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{thue_morse(1024)} {rest}"), (2, f"{thue_morse(1024, 'b', 'a')} {rest}"), (3, f"{thue_morse(1024)} {rest}")]
+    got = {r["d"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), keep_rows=False).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_when_names_collide(spark, monkeypatch):
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from trailguard.llm import common as c
+
+    cloudpickle.register_pickle_by_value(substring_dedup)  # so that workers take the patched module along
+    cloudpickle.register_pickle_by_value(c)
+    full = c.word_hashes
+    monkeypatch.setattr(c, "word_hashes", lambda *x: full(*x) & np.uint64(7))
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 120))) for _ in range(40)]
+    texts += [" ".join([*texts[k].split()[10:60], "new", *texts[k + 1].split()[20:]]) for k in range(20)]
+    docs = list(enumerate(texts))
+    try:
+        got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), keep_rows=False).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+        cloudpickle.unregister_pickle_by_value(c)
+    want = h.dedup(docs)
+    assert {x["d"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == want and sum(x[1] for x in want.values()) > 100
+
+
 def test_decontamination_in_parts_equals_one_part(spark, sf_dir, odd, none):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

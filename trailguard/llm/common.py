@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import types as T
 
 #: Stands for a null doc_id inside the operators: it sorts first, as null does, and is a key that joins.
 NULL_ID = -(2**63)
-_scratch: list[str] = []
+#: Scratch tables made by the caller that settles them; those of nobody stay.
+_owner: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/trailguard/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    if (made := _owner.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -53,8 +57,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_tables() -> list[str]:
-    return list(_scratch)
+def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), saved; the scratch tables that were made for it are deleted, for what is saved doesn't need them. The saved
+    table itself stays for whoever reads the result."""
+    made: list[str] = []
+    before = _owner.set(made)
+    try:
+        out = make()
+    finally:
+        _owner.reset(before)
+    if made:
+        out = save(out, name)
+        release(out.sparkSession, made)
+    return out
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
@@ -63,7 +78,6 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _scratch.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -125,7 +139,9 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_BASE, _SEQUENCE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+_SEQUENCE = np.uint64(0xD6E8FEB86659FD93)
+#: Words of at most so many bytes are hashed side by side, eight bytes at a time; longer ones one by one, by BLAKE2b.
+_SIDE_BY_SIDE = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -136,9 +152,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
 class _Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, as far as asked for."""
 
@@ -158,7 +171,26 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_SEQUENCE)
+_word_powers = _Powers(_SEQUENCE)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes. Every eight bytes are mixed into what came before, so no pattern of letters
+    cancels out, as it does in sums of powers modulo 2^64."""
+    length = end - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(length.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))
+    on = np.flatnonzero(length <= _SIDE_BY_SIDE)
+    at = 0
+    while len(on):
+        left = length[on] - at
+        keep = np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        h[on] = mix((h[on] + np.uint64(at)) ^ mix(eight[start[on] + at] & keep))
+        at += 8
+        on = on[left > 8]
+    for i in np.flatnonzero(length > _SIDE_BY_SIDE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 class Words:
@@ -177,16 +209,31 @@ class Words:
         end[:-1] &= ~word[1:] | begins[1:n]
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, at)
-        up, down = _byte_powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * up[:n], out=total[1:], dtype=np.uint64)
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length * np.uint64(0x2545F4914F6CDD1D))
+        self.hash = word_hashes(self.data, self.start, self.end)
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+class Joined:
+    """The words of a block, each followed by one space: the bytes of any run of words are a slice."""
+
+    def __init__(self, words: Words) -> None:
+        length = words.end - words.start
+        self.end = np.cumsum(length + 1)  # after each word's space
+        self.start = self.end - length - 1
+        source = np.repeat(words.start - self.start, length + 1) + np.arange(self.end[-1] if len(length) else 0)
+        out = np.append(words.data, np.uint8(32))[np.minimum(source, len(words.data))]
+        out[self.end - 1] = 32
+        self.bytes = out.tobytes()
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128 bits of BLAKE2b of each run of words, joined by one space, as two columns of 64."""
+        view, blake2b = memoryview(self.bytes), hashlib.blake2b
+        edges = zip(self.start[first].tolist(), (self.end[last - 1] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in edges]), "<i8").reshape(-1, 2)
+
+
 class Runs:
     """Hashes of any runs of consecutive values of an array of hashes."""
 

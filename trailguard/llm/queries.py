@@ -14,7 +14,7 @@ from .language_id import op2_language_id
 from .license_scan import op8_license_scan
 from .packing import op1_packing
 from .simhash import op10_simhash
-from .substring_dedup import op3_substring_dedup
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL}

@@ -3,7 +3,8 @@
 Every text is parsed in rounds: runs of one word get a name, then pairs of neighbouring symbols do, a pair being made
 where a bit of the left name is 1 and the same round's bit of the right name is 0. A name is a 64-bit hash of what it
 stands for, so names are the same in every task without a shuffle, and equal substrings get the same symbols, except near
-their ends. How far from the ends is known: with each symbol goes the span of words that decide it. A symbol whose span
+their ends. Names only bring equal passages together: what goes is decided by 128 bits of BLAKE2b over the words
+themselves, so texts whose names collide lose nothing. How far from the ends is known: with each symbol goes the span of words that decide it. A symbol whose span
 lies within a window of `window` words therefore recurs wherever the window does.
 
 Of each window's symbols of the highest level that has any, the one with the least hash is its anchor; consecutive windows
@@ -18,7 +19,8 @@ Hot anchors are only aggregated with map-side sums and joined to one row per anc
 
 Null texts have no words; windows don't cross documents; a text of fewer words than a window keeps all; rows with one
 doc_id are told apart by their text's hash, and of equal windows at one place of rows with one doc_id none is earlier; a
-null doc_id counts as the smallest; an empty table gives no rows.
+null doc_id counts as the smallest; texts are read in blocks, so one may be as long as a column can hold; further columns
+of any name are kept apart in a struct; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Runs, Words, blocks, key, mix, save, signed, table, unkey
+from .common import NOT_SPACE, Joined, Runs, Words, blocks, key, mix, save, signed, table, unkey
 
 WINDOW, ROUNDS = 20, 3
 
@@ -103,14 +105,14 @@ def anchors(low: np.ndarray, high: np.ndarray, rank: np.ndarray, start: np.ndarr
     return best
 
 
-def segments(words: Words, window: int, rounds: int) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: text, first word (in the text), number of windows, name of the anchor, and a hash of
-    all their words and where the anchor is."""
+def segments(words: Words, window: int, rounds: int, digests: bool = True) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: text, first word (in the text), number of windows, name of the anchor and, with
+    digests, s1 and s2, a digest of all their words. Equal words make equal runs, their anchor at one place."""
     per_text = np.diff(words.first)
     text = np.repeat(np.arange(len(per_text)), per_text)
     windows = np.flatnonzero(np.repeat(per_text, per_text) - (np.arange(len(text)) - np.repeat(words.first[:-1], per_text)) >= window)
     if not len(windows):
-        return {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "anchor", "segment")}
+        return {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "anchor", "s1", "s2")}
     levels = [name_runs(words.hash, text)]
     for turn in range(rounds):
         levels.append(name_pairs(levels[-1], turn))
@@ -131,18 +133,28 @@ def segments(words: Words, window: int, rounds: int) -> dict[str, np.ndarray]:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(windows)))
     start = windows[head]
-    run = Runs(words.hash)
-    anchor = mix(run.hash(low[head], high[head]) + (which[head] + 2).astype(np.uint64))
-    place = (low[head] - start + window).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)
-    segment = mix(run.hash(start, start + count + window - 1) ^ mix(place + np.uint64(1)))
-    return {"text": text[start], "start": start - words.first[text[start]], "n": count, "anchor": signed(anchor), "segment": signed(segment)}
+    anchor = mix(Runs(words.hash).hash(low[head], high[head]) + (which[head] + 2).astype(np.uint64))
+    found = {"text": text[start], "start": start - words.first[text[start]], "n": count, "anchor": signed(anchor)}
+    if digests:
+        found["s1"], found["s2"] = Joined(words).digests(start, start + count + window - 1).T
+    return found
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(key().alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text", *more)
 
 
-ANCHORS = "anchor long, segment long, d long, h long, start int, n int"
+ANCHORS = "anchor long, s1 long, s2 long, d long, h long, start int, n int"
+
+
+def find_anchors(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
+    """The anchor of each segment: what tells which segments may recur."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(segments(Words(block.column(0), NOT_SPACE, False), window, rounds, digests=False)["anchor"])], ["anchor"])
+
+    return keyed.select("text").mapInArrow(rows, "anchor long")
 
 
 def find_segments(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
@@ -150,7 +162,7 @@ def find_segments(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
         for block in blocks(batches):
             s = segments(Words(block.column(2), NOT_SPACE, False), window, rounds)
             d, h = (block.column(i).to_numpy()[s["text"]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(s["anchor"]), pa.array(s["segment"]), pa.array(d), pa.array(h), pa.array(s["start"].astype(np.int32)), pa.array(s["n"].astype(np.int32))], [x.split()[0] for x in ANCHORS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s["anchor"], s["s1"], s["s2"], d, h, s["start"].astype(np.int32), s["n"].astype(np.int32))], [x.split()[0] for x in ANCHORS.split(", ")])
 
     return keyed.mapInArrow(rows, ANCHORS)
 
@@ -194,17 +206,16 @@ def _expand(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def find_windows(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """Two 64-bit hashes of each window of the spans, with its place."""
+    """The digest of each window of the spans, with its place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _texts(batches):
             words = Words(block.column(2), NOT_SPACE, False)
             row, start, n = _expand(block)
             at = np.repeat(words.first[row] + start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            run, other = Runs(words.hash), Runs(mix(words.hash + np.uint64(77)))
             row = np.repeat(row, n)
             place = at - words.first[row]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(r.hash(at, at + window))) for r in (run, other)] + [pa.array(block.column(i).to_numpy()[row]) for i in (0, 1)] + [pa.array(place.astype(np.int32))], ["w1", "w2", "d", "h", "start"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, Joined(words).digests(at, at + window).T)] + [pa.array(block.column(i).to_numpy()[row]) for i in (0, 1)] + [pa.array(place.astype(np.int32))], ["w1", "w2", "d", "h", "start"])
 
     return packed(keyed).join(lists(spans), ["d", "h"]).mapInArrow(rows, "w1 long, w2 long, d long, h long, start int")
 
@@ -212,17 +223,18 @@ def find_windows(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Spans (d, h, start, n): the n windows from word `start` on occur earlier too."""
     keyed = _keyed(docs)
-    found = find_segments(keyed, window, rounds)
+    segment = ["s1", "s2"]
     # tables of their own, so that the sides of the joins with hot anchors and windows are plain shuffles, which split
-    again = save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "again")
-    shared = save(found.join(again, "anchor"), "shared")
+    again = save(find_anchors(keyed, window, rounds).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "again")
+    shared = save(find_segments(keyed, window, rounds).join(again, "anchor"), "shared")
     place = F.struct("d", "start")
-    by_anchor = save(shared.groupBy("anchor").agg(F.min("segment").alias("s0"), F.max("segment").alias("s1")).where("s0 != s1").select("anchor"), "mixed")
-    firsts = save(shared.groupBy("segment").agg(F.min(place).alias("first"), F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("times")), "firsts")
-    later = shared.join(firsts.where("times > 1").select("segment", "first"), "segment").where(F.struct("d", "start") > F.col("first")).select("d", "h", "start", "n")
-    mixed = firsts.join(by_anchor, "anchor").select("segment", F.col("first.d").alias("fd"), F.col("first.start").alias("fs"))
+    alike = F.struct(*segment)
+    by_anchor = save(shared.groupBy("anchor").agg(F.min(alike).alias("least"), F.max(alike).alias("most")).where("least != most").select("anchor"), "mixed")
+    firsts = save(shared.groupBy(*segment).agg(F.min(place).alias("first"), F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("times")), "firsts")
+    later = shared.join(firsts.where("times > 1").select(*segment, "first"), segment).where(F.struct("d", "start") > F.col("first")).select("d", "h", "start", "n")
+    mixed = firsts.join(by_anchor, "anchor").select(*segment, F.col("first.d").alias("fd"), F.col("first.start").alias("fs"))
     # of rows with one doc_id and one text all are read: which is first doesn't matter
-    unsure = shared.join(mixed, "segment").where("d = fd and start = fs").select("d", "h", "start", "n")
+    unsure = shared.join(mixed, segment).where("d = fd and start = fs").select("d", "h", "start", "n")
     windows = save(find_windows(keyed, save(unsure, "unsure"), window), "windows")
     earliest = save(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2", "first"), "earliest")
     single = windows.join(earliest, ["w1", "w2"]).where(F.struct("d", "start") > F.col("first")).select("d", "h", "start", F.lit(1).alias("n"))
@@ -273,3 +285,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), keep_rows=False)
     return found.select(unkey("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+l AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT DISTINCT doc_id, j FROM l, unnest(range(i, i + 20)) AS t(j)),
+a AS (SELECT doc_id, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(j)),
+k AS (SELECT a.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY a.j) AS kept FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.j = g.j WHERE g.j IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
