@@ -1,15 +1,16 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of its own texts; a text's words (letters only, lower case) are
-compressed with every dictionary, in blocks, and the language whose dictionary makes it smallest is predicted. Where the second language is hardly larger
-(relative to the smaller), the text is rejected.
+compressed with every dictionary, in blocks, and the language whose dictionary makes it smallest is predicted. Where the
+second language is hardly larger (relative to the smaller), the text is rejected. Texts of all lengths go the same way.
 
 Learning reads a bounded sample of labelled rows: about `sample` documents per language, those whose hash is smallest
 under a threshold from the language's count of distinct texts, and of each an excerpt of at most `excerpt` characters, until a dictionary
 has `dictionary` bytes. Prediction reads whole texts, and nothing but texts.
 
 Null texts and texts without letters are `und` with score 0, as is everything where no row is labelled. Rows with one
-doc_id are predicted each by itself. Ties go to the language that sorts first.
+doc_id are predicted each by itself. Ties go to the language that sorts first. Very long texts are compressed whole, block
+by block; further columns of any name travel in a struct; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ UNKNOWN = "und"
 SAMPLE, EXCERPT, DICTIONARY = 400, 2000, 96 << 10
 #: Bytes compressed at once: the dictionary stays the larger part of what a block can refer to.
 BLOCK = 4096
-#: Texts below so many bytes are compressed with quarters of the dictionaries too: more sizes, fewer ties.
-SHORT, QUARTERS = 400, 4
 #: A text is rejected where the second size exceeds the smallest by less than this share.
 MARGIN = 0.002
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,14 +45,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, dic
     """Dictionaries by language from rows (text, lang): at most languages x about `sample` excerpts reach the driver."""
     rows = labelled.where("lang is not null and length(trim(text)) > 0")
     # distinct texts: however many copies there are, a threshold by hash takes a text or leaves it
-    counts = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]), F.col("lang"))
+    counts = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     # an excerpt from the middle of a text, where it begins depends on the text alone
     begin = F.lit(1) + F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int")
-    picked = rows.where(h < share * (1 << 40)).select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(excerpt)).alias("text")).distinct().collect()
+    picked = rows.join(counts, "lang").where(h < F.col("share") * (1 << 40)).select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(excerpt)).alias("text")).distinct().collect()
     texts: dict[str, list] = defaultdict(list)
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
         texts[r["lang"]].append(letters(r["text"]))
@@ -61,10 +57,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, dic
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 5) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 6) -> None:
         self.languages = list(dictionaries)
         self.compressors = [self._compressor(d, level) for d in dictionaries.values()]
-        self.quarters = [[self._compressor(q, level) for i in range(QUARTERS) if (q := d[i * len(d) // QUARTERS : (i + 1) * len(d) // QUARTERS])] for d in dictionaries.values()]
 
     @staticmethod
     def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -74,10 +69,7 @@ class Classifier:
 
     def sizes(self, text: bytes) -> list[int]:
         parts = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        out = [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
-        if len(text) < SHORT:
-            out = [n + sum(len(c.compress(text)) for c in own) for n, own in zip(out, self.quarters, strict=True)]
-        return out
+        return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
 
     def predict(self, text: bytes) -> tuple[str, float, float]:
         """Language, score (0 to 1: how surely the smallest is smallest) and margin."""
