@@ -8,8 +8,8 @@ into any pack, it is cut at the room that is left and the rest goes back to the
 length, which ranks of its documents go to which packs; documents get their rank from counts by input partition, with
 prefix sums, so no group of equal lengths meets in one task.
 
-Null texts are empty (one token, the end); rows with one doc_id are packed each by itself; an empty table gives no rows;
-further columns don't matter.
+Null texts are empty (one token, the end); rows with one doc_id are packed each by itself; very long texts are cut into
+full sequences; an empty table gives no rows; further columns, of any name, don't matter.
 """
 
 from __future__ import annotations
@@ -142,7 +142,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: i
                 columns = list(zip(*out, strict=True))[: len(names)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
-    ranked = pieces.join(bases.drop("n"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("slot"))
+    # bases has a row per length and input partition, so it grows with the input: joined by sorting, never broadcast
+    ranked = pieces.join(bases.drop("n").hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("slot"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids").mapInArrow(placed, schema + ", ids binary" * with_ids)
 
