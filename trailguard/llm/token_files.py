@@ -7,7 +7,8 @@ manifest. A task writes under a name of its own and the manifest names the files
 speculative tasks leave nothing that is read.
 
 Null texts are empty; a null doc_id sorts first (int64's smallest value in the file); rows with one doc_id stay, in the
-order of their texts; an empty table gives a data set of no shards.
+order of their texts; very long texts are encoded whole, block by block; further columns don't matter; an empty table
+gives a data set of no shards.
 """
 
 from __future__ import annotations
@@ -30,13 +31,26 @@ from .tokens import default_tokenizer, encoder
 MANIFEST = "shard int, name string, docs long, ids long, width int"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself resolves it: one without a scheme is on the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return (pafs.FileSystem.from_uri(uri)) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """Arrow's file system and path of a qualified folder; a scheme that Arrow doesn't know is refused, not taken for a
+    local path."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1) -> list[dict]:
     """Write all documents (doc_id, text) in ascending doc_id order; returns the manifest with each shard's base."""
-    path = tokenizer or default_tokenizer()
+    path, folder = tokenizer or default_tokenizer(), qualified(docs.sparkSession, folder)
     n = shuffle_partitions(docs.sparkSession)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +83,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
 
 class Shard:
-    """A shard of a data set, memory-mapped where the folder is local or mounted, else read by ranges."""
+    """A shard of a data set in a qualified folder, memory-mapped where it is local or mounted, else read by ranges."""
 
     def __init__(self, folder: str, name: str, width: int) -> None:
         self.fs, self.root = _open(folder)
@@ -97,6 +111,7 @@ class Shard:
 
 def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     """A row per document from the files: doc_id, start (ids before it), n_tokens, ids_crc32."""
+    folder = qualified(spark, folder)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
