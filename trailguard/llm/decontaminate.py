@@ -6,11 +6,13 @@ missing a pattern, pairs that end a pattern have shift 0; there a bucket of patt
 each is compared with the text, word by word. All stretches of a block of texts are searched side by side, each moving on
 by its own shifts, so a shift of m-1 words skips that many positions.
 
-Patterns are broadcast in parts of at most `most` patterns; each part is a pass over the documents and the hits of all
-parts are brought together by document, so the benchmark may be of any size.
+Spark makes the patterns and deals them to parts of at most some `most`. A part's searchers are arrays (hashes, bytes,
+tables), built once on the driver and broadcast; each part is a pass over the documents whose hits are saved before the
+next part is built, so one part is in memory at a time and the benchmark, or one item of it, may be of any size.
 
 Null texts and items have no words; a null doc_id is kept; rows with one doc_id are told apart by their text's hash (equal
-rows have equal results); items with one item_id count once; with no items nothing is hit; an empty table gives no rows.
+rows have equal results); items with one item_id count once; with no items nothing is hit; texts of any length are
+searched whole; further columns, of any name, travel in a struct; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,34 +26,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, as_row, blocks, mix, table, with_row
+from .common import ALNUM, Joined, Words, as_row, blocks, mix, save, table, with_row
 
 WINDOW = 10
-#: Patterns in a broadcast: some 150 bytes each.
+#: Patterns in a broadcast: some 200 bytes each.
 MOST = 500_000
 #: Slots of the shift table, and words that a lane searches.
 SLOTS, LANE = 1 << 20, 128
 
 
 class Searcher:
-    """Patterns (tuples of words) of one length."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]], ids: list[tuple[str, ...]]) -> None:
-        self.m = m = len(patterns[0])
-        self.block = min(2, m)
-        self.patterns, self.ids = patterns, ids
-        joined = pa.array([" ".join(map(bytes.decode, p)) for p in patterns], pa.string())
-        words = Words(joined, ALNUM, False)
+    """Patterns (words joined by one space) of m words each, in arrays. ids: the items that each is from."""
+
+    def __init__(self, m: int, patterns: list[bytes], ids: list[list[str]]) -> None:
+        self.m, self.block = m, min(2, m)
+        self.names, codes = np.unique(np.array([i for own in ids for i in own], object).astype(str), return_inverse=True)
+        self.items = codes.astype(np.int32)
+        self.own = np.append(0, np.cumsum([len(x) for x in ids]))
+        self.bytes = b"".join(patterns)
+        self.at = np.append(0, np.cumsum([len(p) for p in patterns]))
+        words = Words(pa.array([p.decode() for p in patterns], pa.string()), ALNUM, False)
         self.hashes = words.hash.reshape(len(patterns), m)
-        pairs = self.pairs(words.hash).reshape(-1) if self.block == 1 else self.pairs_of(self.hashes)
-        self.shift = np.full(SLOTS, m - self.block + 1, np.int16)
         per = m - self.block + 1
-        slots = (pairs % np.uint64(SLOTS)).astype(np.int64).reshape(len(patterns), per)
+        pairs = self.pairs_of(self.hashes) if self.block == 2 else self.hashes
+        self.shift = np.full(SLOTS, per, np.int16)
+        slots = (pairs % np.uint64(SLOTS)).astype(np.int64)
         for k in range(per):  # the block at k ends m - block - k words before the pattern does
             np.minimum.at(self.shift, slots[:, k], m - self.block - k)
-        self.suffixes: dict[int, list[int]] = defaultdict(list)
-        for i, pair in enumerate(pairs.reshape(len(patterns), per)[:, -1].tolist()):
-            self.suffixes[pair].append(i)
+        self.bucket = np.argsort(pairs[:, -1], kind="stable")
+        self.suffixes = pairs[self.bucket, -1]
 
     def pairs_of(self, hashes: np.ndarray) -> np.ndarray:
         return mix(hashes[:, :-1] * np.uint64(31) + hashes[:, 1:])
@@ -87,44 +90,57 @@ class Searcher:
             at = at + np.maximum(step, 1)
             on = at < top
             at, top, text = at[on], top[on], text[on]
-        for end, t in zip(np.concatenate(found_at).tolist(), np.concatenate(found_text).tolist(), strict=True):
-            for i in self.suffixes.get(int(pair[end]), ()):
-                first = end - m + 1
-                if np.array_equal(h[first : end + 1], self.hashes[i]) and all(words.text(first + k) == w for k, w in enumerate(self.patterns[i])):
-                    yield t, first, i
-
-
-def patterns_of(items: list[tuple[str, str]], window: int) -> list[tuple[tuple[bytes, ...], tuple[str, ...]]]:
-    """Distinct patterns with the items they are from."""
-    of: dict[tuple, set] = defaultdict(set)
-    for item_id, text in items:
-        words = Words(pa.array([text or ""], pa.string()), ALNUM, True)
-        own = [words.text(i) for i in range(len(words.hash))]
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            of[tuple(own[i : i + window])].add(item_id)
-    return [(p, tuple(sorted(ids))) for p, ids in of.items()]
-
-
-def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[list]:
-    """Patterns in lists of at most about `most`, by blocks of items; one list is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (2 * most)))  # a word and what parts it from the next have two characters at least
+        end, text = np.concatenate(found_at), np.concatenate(found_text)
+        low, high = (np.searchsorted(self.suffixes, pair[end], side) for side in ("left", "right"))
+        for k in np.flatnonzero(low < high).tolist():
+            first = int(end[k]) - m + 1
+            for i in self.bucket[low[k] : high[k]].tolist():
+                if np.array_equal(h[first : first + m], self.hashes[i]) and b" ".join([words.text(first + j) for j in range(m)]) == self.bytes[self.at[i] : self.at[i + 1]]:
+                    yield int(text[k]), first, i
+
+    def items_of(self, i: int) -> list[str]:
+        return self.names[self.items[self.own[i] : self.own[i + 1]]].tolist()
+
+
+PATTERNS = "m int, k string, item_id string"
+
+
+def patterns_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """m, k (the words joined by one space) and items of every distinct pattern."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            words = Words(block.column(1), ALNUM, True)
+            n = np.diff(words.first)
+            count = np.where(n, np.maximum(n - window + 1, 1), 0)
+            text = np.repeat(np.arange(len(n)), count)
+            start = np.repeat(words.first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            m = np.minimum(n, window)[text]
+            joined = Joined(words)
+            edges = zip(joined.start[start].tolist(), (joined.end[start + m - 1] - 1).tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array([joined.bytes[a:b] for a, b in edges], pa.binary()).cast(pa.string()), block.column(0).take(pa.array(text))], ["m", "k", "item_id"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    return items.mapInArrow(rows, PATTERNS).groupBy("m", "k").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[list[Searcher]]:
+    """Searchers for about `most` patterns at a time."""
+    patterns = save(patterns_of(benchmark, window), "patterns")
+    parts = max(1, -(-patterns.count() // most))
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else items
-        yield patterns_of([(r["item_id"], r["text"]) for r in rows.collect()], window)
+        rows = patterns.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == k) if parts > 1 else patterns
+        by: dict[int, list] = defaultdict(list)
+        for r in rows.collect():  # about `most`
+            by[r["m"]].append((r["k"].encode(), r["items"]))
+        yield [Searcher(m, [p for p, _ in sorted(v)], [i for _, i in sorted(v)]) for m, v in sorted(by.items())]
 
 
-def _scan(docs: DataFrame, patterns: list) -> DataFrame:
-    """row, n_words, hits and items of all docs for one part of the patterns."""
-    by: dict[int, list] = defaultdict(list)
-    for p in patterns:
-        by[len(p[0])].append(p)
-    part = docs.sparkSession.sparkContext.broadcast([([p for p, _ in v], [i for _, i in v]) for v in by.values()])
+def _scan(docs: DataFrame, shared) -> DataFrame:
+    """row, n_words, hits and items of all docs for one part of the patterns, its searchers in a broadcast."""
     schema = with_row(docs, "n_words long", "hits array<struct<first:int,m:int>>", "items array<string>")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers = [Searcher(*x) for x in part.value]
         kinds = pa.list_(pa.struct([("first", pa.int32()), ("m", pa.int32())])), pa.list_(pa.string())
         for batch in batches:
             all_rows = batch.column(0)
@@ -132,10 +148,10 @@ def _scan(docs: DataFrame, patterns: list) -> DataFrame:
             for block in blocks(iter([pa.RecordBatch.from_arrays([all_rows.field("text")], ["text"])])):
                 words = Words(block.column(0), ALNUM, True)
                 spans, items = defaultdict(set), defaultdict(set)
-                for s in searchers:
+                for s in shared.value:
                     for t, first, i in s.search(words):
                         spans[t].add((int(first - words.first[t]), s.m))
-                        items[t].update(s.ids[i])
+                        items[t].update(s.items_of(i))
                 n = block.num_rows
                 hits = [[{"first": a, "m": m} for a, m in sorted(spans.get(t, ()))] for t in range(n)]
                 found = [sorted(items.get(t, ())) for t in range(n)]
@@ -148,15 +164,19 @@ def _scan(docs: DataFrame, patterns: list) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """row (all columns of docs, doc_id and text among them), n_words, hits (spans of first word and number of words) and
     items."""
-    scans = [_scan(docs, p) for p in _parts(benchmark, window, most)]
-    found = scans[0]
-    if len(scans) == 1:
-        return found
+    context = docs.sparkSession.sparkContext
+    parts = _parts(benchmark, window, most)
+    found = _scan(docs, context.broadcast(next(parts)))
     ids = [F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("h")]
-    more = scans[1].select(*ids, "hits", "items")
-    for s in scans[2:]:
-        more = more.union(s.select(*ids, "hits", "items"))
-    more = more.where(F.size("hits") > 0).groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits_"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items_"))
+    more = None
+    for part in parts:
+        shared = context.broadcast(part)
+        hits = save(_scan(docs, shared).where(F.size("hits") > 0).select(*ids, "hits", "items"), "hits")
+        shared.destroy()
+        more = hits if more is None else more.union(hits)
+    if more is None:
+        return found
+    more = more.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits_"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items_"))
     joined = found.withColumns({"d_": ids[0], "h_": ids[1]}).join(more, F.col("d_").eqNullSafe(F.col("d")) & (F.col("h_") == F.col("h")), "left")
     both = lambda a: F.when(F.col(f"{a}_").isNull(), F.col(a)).otherwise(F.array_union(a, f"{a}_")).alias(a)
     return joined.select("row", "n_words", both("hits"), both("items"))
