@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from trailguard.llm import chat_format, class_lm, common, decontaminate, fingerprints, language_id, license_scan, packing, simhash, substring_dedup, token_files
+from trailguard.llm import chat_format, class_lm, common, decontaminate, fingerprints, language_id, license_scan, license_texts, packing, simhash, substring_dedup, token_files
 from trailguard.llm.common import scratch_path
 from trailguard.llm.queries import ORACLE_SQL, QUERIES
 
@@ -276,33 +276,62 @@ def test_license_scan(spark, sf_dir, docs, odd, none):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(at), ",".join(sorted(labels)))
         assert (r["first_word"], r["last_word"]) == ((min(at), max(at)) if at else (None, None))
         assert labels <= set(r["labels"].split(",")) | {""} or labels <= set(r["labels"].split(","))
-    notice = license_scan.TEMPLATES[3][1]
-    df = spark.createDataFrame([(1, "x " * 500 + notice.upper().replace(" ", "\n") + " y"), (2, notice.replace("binary", "boxed")), (3, "redistribution and use")], "doc_id long, text string")
-    found = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in license_scan.scan(df).collect()}
-    assert found == {1: ["bsd-3-clause"], 2: [], 3: []}
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).collect() == []
 
 
-def test_license_scan_takes_all_notices_of_a_text(spark):
-    notices = [text for _, text, _ in license_scan.TEMPLATES]
+def license_labels(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [{m["label"] for m in r["matches"]} for r in sorted(license_scan.scan(df, **more).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_license_scan_of_notices_that_are_changed(spark):
+    mit, bsd = license_texts.MIT, next(text for label, text, _ in license_texts.TEMPLATES if label == "bsd")
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    texts = [
+        mit, grant, grant.replace("hereby", "hereby also").replace("copy", "copy or two"), grant.replace("free of charge", "for money"),
+        "unencumbered " * 64 + grant, "unencumbered " * 64 + mit.upper().replace(" ", "\n# "),
+        "x " * 500 + bsd.upper() + " y", bsd.replace("binary", "boxed"), "redistribution and use", "permission " * 200,
+        " ".join(w for k, w in enumerate(mit.split()) if k % 9), " ".join(w for k, w in enumerate(mit.split()) if k % 4),
+    ]
+    want = [{"mit"}, {"mit"}, {"mit"}, set(), {"mit"}, {"mit"}, {"bsd"}, set(), set(), set(), {"mit"}, set()]
+    assert license_labels(spark, texts) == want
+    phrases = spark.createDataFrame([(1, "Well, hello WORLD. Hello"), (2, "world hello")], "doc_id long, text string")
+    assert [(r["doc_id"], [b["first"] for b in r["base"]]) for r in sorted(license_scan.scan(phrases, phrases={"hello world": "greeting"}).collect())] == [(1, [1]), (2, [])]
+
+
+def agreeing(window, template):
+    row = [0] * (len(template) + 1)
+    for w in window:
+        diagonal = 0
+        for j, x in enumerate(template):
+            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if w == x else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_license_scan_equals_all_windows_compared(spark):
+    templates = [("a", "one two three four five six seven eight nine ten", ["two three"]), ("b", "one three five seven nine two four", []), ("c", "all rights reserved", ["all rights reserved"]), ("d", "two two one two", [])]
     r = random.Random(3)
-    words = " ".join(notices).split()
-    texts = [" ".join(notices), " ".join(reversed(notices)), " ".join(notices * 5), " ".join(r.choices(words, k=3000)) + " " + notices[-1]]
-    texts += [" ".join(r.choice(words) if r.random() < 0.1 else w for w in " ".join(r.sample(notices, 15)).split()) for _ in range(6)]
-    found = {r["doc_id"]: [(m["label"], m["first"], m["cover"]) for m in r["matches"]] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = "one two three four five six seven eight nine ten all rights reserved x y".split()
+    texts = [" ".join(r.choices(words, k=r.randint(0, 120))) for _ in range(40)]
+    texts += [" ".join(w for w in (" ".join(t for _, t, _ in r.sample(templates, 4)) + " x").split() if r.random() > 0.1 for w in [w, *r.choices(words, k=r.random() < 0.1)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(m["label"], m["first"], m["cover"]) for m in r["matches"]] for r in license_scan.scan(df, templates=templates).collect()}
     for i, text in enumerate(texts):
         w, want = h.alnum_words(text), []
-        for label, notice, phrases in license_scan.TEMPLATES:
-            t, best = h.alnum_words(notice), (0, 0)
-            for begin in range(1 - len(t), len(w)):
-                a, b = max(0, begin), begin + len(t)
-                cover = sum(x == y for x, y in zip(w[a:b], t[a - begin :])) / len(t)
-                inside = f" {' '.join(w[a:b])} "
-                if cover >= 0.8 and cover > best[0] and all(f" {' '.join(h.alnum_words(p))} " in inside for p in phrases):
-                    best = (cover, begin)
-            want += [(label, best[1], best[0])] if best[0] else []
+        for label, notice, phrases in templates:
+            t = notice.split()
+            size = len(t) + len(t) // 4
+            starts = [k for k, x in enumerate(w) if x in t]
+            covers = [agreeing(w[k : k + size], t) for k in starts]
+            passing = [(-c, k) for k, c in zip(starts, covers, strict=True) if c >= 0.8 * len(t) and all(f" {p} " in f" {' '.join(w[k : k + size])} " for p in phrases)]
+            if passing:
+                c, k = min(passing)
+                j = starts.index(k)
+                while j + 1 < len(starts) and covers[j + 1] == -c:
+                    j += 1
+                want.append((label, starts[j], -c / len(t)))
         assert found[i] == want
-    assert {m[0] for m in found[0]} == {label for label, _, _ in license_scan.TEMPLATES}
+    assert sum(map(len, found.values())) > 50
 
 
 def test_class_lm(spark, sf_dir, docs, odd, none):

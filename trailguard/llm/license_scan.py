@@ -1,15 +1,17 @@
 """License scan by a positional index of rare template words.
 
-Templates (license notices) are indexed by word, each by so many of its words of highest IDF (document frequencies are
-counted over all documents) that a place where the rest agrees has too small a cover: a template of n words by
-n - ceil(COVER * n) + 1. Every place of such a word in a document, less its place in the template, is where the template
-may begin, and there it is laid over the document: the share of its words that agree is its cover, and every mandatory
-phrase must stand in the part that it covers. No passing place is left out, however many there are; of equal covers the
-first counts.
+Templates (whole license texts and notices) are indexed by word and position. Of a template of n words,
+need = ceil(COVER * n) have to agree, so of any n - need + 1 of its words at least one does: those of highest IDF (document
+frequencies are counted over all documents) open places, all other words only count there. A place is a window of
+n + floor(SLACK * n) words of a document; the words that agree are the longest common subsequence of window and template, so
+words put in, left out or changed cost what they are, and every mandatory phrase must stand in the window. Windows are
+compared only where an opening word lies and enough of the template's words are; none that passes is left out. A template's
+place is the first window of greatest cover, from its first word that agrees on.
 
 Besides, base phrases are found wherever their words stand consecutively.
 
-Null and empty texts have no words; rows with one doc_id are scanned each by itself; an empty table gives no rows.
+Null and empty texts have no words; rows with one doc_id are scanned each by itself; of equal covers the first place counts;
+texts of any length are scanned whole, block by block; further columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,29 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, Words, blocks, table
+from .license_texts import TEMPLATES
 
 #: Base phrases and their labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices as they are published with the licenses, and phrases that must stand in them: label, notice, phrases.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["permission is hereby granted", "free of charge"]),
-    ("mit", "Released under the MIT License", ["mit license"]),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", ["apache license version 2"]),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use", "source and binary forms"]),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ["gnu general public license", "version 3"]),
-    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ["gnu general public license", "version 2"]),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["gnu lesser general public license"]),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
-    ("all-rights-reserved", "All rights reserved", ["all rights reserved"]),
-]
-#: A template's share of agreeing words that makes its label.
-COVER = 0.8
+#: A template's share of agreeing words that makes its label, and by what share of its words a window is longer.
+COVER, SLACK = 0.8, 0.25
 
 
 def _words(text: str) -> np.ndarray:
@@ -63,12 +48,22 @@ class Index:
         self.vocabulary = np.unique(np.concatenate(self.words))
         frequency = frequency or {}
         self.idf = np.array([np.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.vocabulary.tolist()])
-        #: The (template, position) pairs that each opening word has, by its place in the vocabulary.
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.need = [math.ceil(COVER * len(w) - 1e-9) for w in self.words]
+        self.window = [len(w) + math.floor(SLACK * len(w)) for w in self.words]
+        #: By template: which words of the vocabulary it has, and for each of them the bits of its positions.
+        self.member = np.zeros((len(self.words), len(self.vocabulary)), bool)
+        self.masks: list[dict[int, int]] = []
+        #: The templates that a word opens, by its place in the vocabulary.
+        self.postings: dict[int, set[int]] = defaultdict(set)
         for t, words in enumerate(self.words):
             terms = np.searchsorted(self.vocabulary, words)
-            for i in np.argsort(-self.idf[terms], kind="stable")[: len(words) - math.ceil(COVER * len(words) - 1e-9) + 1].tolist():
-                self.postings[int(terms[i])].append((t, i))
+            masks: dict[int, int] = defaultdict(int)
+            for i, term in enumerate(terms.tolist()):
+                masks[term] |= 1 << i
+            self.masks.append(dict(masks))
+            self.member[t, terms] = True
+            for i in np.argsort(-self.idf[terms], kind="stable")[: len(words) - self.need[t] + 1].tolist():
+                self.postings[int(terms[i])].add(t)
         self.opens = np.isin(np.arange(len(self.vocabulary)), list(self.postings))
 
     def find(self, words: np.ndarray) -> np.ndarray:
@@ -81,28 +76,50 @@ class Index:
         """Best cover and place of each template that passes, in a document with index words `terms` at `places`."""
         best: dict[int, tuple[float, int]] = {}
         opening = self.opens[terms]
-        places, terms = places[opening], terms[opening]
-        begins: dict[int, list[np.ndarray]] = defaultdict(list)
-        for term in np.unique(terms).tolist():
-            at = places[terms == term]
-            for t, i in self.postings[term]:
-                begins[t].append(at - i)
-        for t, found in begins.items():
-            template = self.words[t]
-            n = len(template)
-            begin = np.unique(np.concatenate(found))
-            agree = np.zeros(len(begin), np.int64)
-            for i, w in enumerate(template):
-                at = begin + i
-                agree += (at >= 0) & (at < len(words)) & (words[np.clip(at, 0, len(words) - 1)] == w)
-            passing = np.flatnonzero(agree / n >= COVER)
-            for k in passing[np.argsort(-agree[passing], kind="stable")].tolist():
-                a, b = max(0, int(begin[k])), min(len(words), int(begin[k]) + n)
-                if all(contains(words[a:b], p) for p in self.phrases[t]):
-                    best[t] = (float(agree[k]) / n, int(begin[k]))
-                    break
+        found: dict[int, list] = defaultdict(list)
+        for place, term in zip(places[opening].tolist(), terms[opening].tolist(), strict=True):
+            for t in self.postings[term]:
+                found[t].append(place)
+        for t, opened in found.items():
+            own = self.member[t, terms]
+            at, term = places[own], terms[own]
+            stop = np.searchsorted(at, at + self.window[t])
+            opened = np.array(opened)
+            near = np.searchsorted(opened, at + self.window[t]) > np.searchsorted(opened, at)
+            begins = np.flatnonzero((stop - np.arange(len(at)) >= self.need[t]) & near)
+            if len(begins):
+                place = self._best(t, words, at, term.tolist(), begins.tolist(), stop.tolist())
+                if place:
+                    best[t] = place
         return best
 
+    def _best(self, t: int, words: np.ndarray, at: np.ndarray, terms: list[int], begins: list[int], stop: list[int]) -> tuple[float, int] | None:
+        """Of the windows that begin at the k-th of the template's words in the document, for k in begins."""
+        masks, n = self.masks[t], len(self.words[t])
+        full = (1 << n) - 1
+
+        def agree(k: int) -> int:
+            v = full  # bit by bit the longest common subsequence: a zero for each word that agrees
+            for term in terms[k : stop[k]]:
+                u = v & masks[term]
+                v = ((v + u) | (v - u)) & full
+            return n - v.bit_count()
+
+        most, where, pass_over = self.need[t] - 1, None, -1
+        for k in begins:
+            if at[k] < pass_over or stop[k] - k <= most:
+                continue
+            same = agree(k)
+            pass_over = int(at[k]) + most + 1 - same  # a word more can agree with every word further, at most
+            window = words[at[k] : at[k] + self.window[t]]
+            if same > most and all(contains(window, p) for p in self.phrases[t]):
+                most, where = same, k
+        if where is None:
+            return None
+        while where + 1 < len(at) and agree(where + 1) == most:
+            where += 1
+        return most / n, int(at[where])
+
 
 def contains(words: np.ndarray, phrase: np.ndarray) -> bool:
     return len(starts(words, phrase)) > 0
@@ -144,7 +161,7 @@ SCAN = "n_words long, base array<struct<first:int,phrase:int>>, matches array<st
 
 def scan(docs: DataFrame, templates: list | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, base (places of base phrases) and matches (templates found) of all documents (doc_id, text)."""
-    templates, phrases = templates or TEMPLATES, phrases or BASE
+    templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
     frequency, documents = frequencies(docs, Index(templates))
     shared = docs.sparkSession.sparkContext.broadcast((templates, frequency, documents))
 
@@ -157,12 +174,17 @@ def scan(docs: DataFrame, templates: list | None = None, phrases: dict[str, str]
             hit = np.flatnonzero(terms >= 0)
             text = np.searchsorted(words.first, hit, side="right") - 1
             edge = np.searchsorted(text, np.arange(block.num_rows + 1))
-            every, matches = [], []
+            every = [[] for _ in range(block.num_rows)]
+            for k, p in enumerate(base):
+                for i in starts(words.hash, p).tolist():
+                    t = int(np.searchsorted(words.first, i, side="right")) - 1
+                    if i + len(p) <= words.first[t + 1]:
+                        every[t].append((i - int(words.first[t]), k))
+            every = [[{"first": i, "phrase": k} for i, k in sorted(x)] for x in every]
+            matches = []
             for t in range(block.num_rows):
                 a, b = words.first[t], words.first[t + 1]
                 own, at = words.hash[a:b], hit[edge[t] : edge[t + 1]]
-                near = [] if not len(at) else [(int(i), k) for k, p in enumerate(base) for i in starts(own, p)]
-                every.append([{"first": i, "phrase": k} for i, k in sorted(near)])
                 best = index.scan(own, at - a, terms[at]) if len(at) else {}
                 matches.append([{"label": index.labels[k], "first": first, "cover": c} for k, (c, first) in sorted(best.items())])
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(words.first)), pa.array(every, kinds[0]), pa.array(matches, kinds[1])], ["doc_id", "n_words", "base", "matches"])
