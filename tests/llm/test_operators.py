@@ -229,38 +229,87 @@ def test_chat_layouts(spark):
     assert chat_format.records_of_rows(table.limit(0)).count() == 0
 
 
+def edited(pairs):
+    """(doc_id, text, edited text, next text) in the operator's order, but for rows of one doc_id with different texts."""
+    order = sorted(pairs, key=lambda d: (-(2**63) if d[0] is None else d[0], d[1] or ""))
+    texts = [t or "" for _, t in order]
+    for k, (i, _) in enumerate(order):
+        t, n = texts[k], texts[(k + 1) % len(texts)]
+        yield i, t, t[: len(t) - len(t) // 2] + n[: len(t) // 2], n
+
+
+def ends_in_common(a, b):
+    """The share of the longer text that two different texts have in common at their ends."""
+    from os.path import commonprefix
+
+    n = len(commonprefix([a, b])) + len(commonprefix([a[::-1], b[::-1]]))
+    return min(n, len(a), len(b), max(len(a), len(b)) - 1) / max(len(a), len(b)) if a and b else 0.0
+
+
 def test_fingerprints(spark, sf_dir, docs, odd, none, twice):
-    def expect(pairs):
-        order = sorted(pairs, key=lambda d: (-(2**63) if d[0] is None else d[0], d[1] or ""))
-        texts = [t or "" for _, t in order]
-        for k, (i, _) in enumerate(order):
-            t, n = texts[k], texts[(k + 1) % len(texts)]
-            yield i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
-
-    got = QUERIES["op7_fingerprints"](spark, sf_dir).collect()
-    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(expect(docs))
-    assert len({r["fingerprint"] for r in got}) == len({t for _, t in docs})
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next")) and sum(r["near_edited"] for r in got) / len(got) > 0.4
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r["doc_id"]: r for r in QUERIES["op7_fingerprints"](spark, sf_dir).collect()}
+    likeness = lambda x, y, a, b: 1.0 if a == b else max(ends_in_common(a, b), fingerprints.overlap(x, y) if a and b else 0)
+    for i, text, half, following in edited(docs):
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), digest(half))
+        assert r["near_edited"] == pytest.approx(likeness(r["fingerprint"], r["edited_fingerprint"], text, half))
+        assert r["edited_fingerprint"] == fingerprints.fingerprint(fingerprints.Prefixes(fingerprints.code_points(half)))
+        nxt = fingerprints.fingerprint(fingerprints.Prefixes(fingerprints.code_points(following)))
+        assert r["near_next"] == pytest.approx(likeness(r["fingerprint"], nxt, text, following))
+    assert len({r["fingerprint"] for r in got.values()}) == len({t for _, t in docs})
     null = lambda rows: sorted((r[0] if r[0] is not None else -(2**63), r[1], r[2]) for r in rows)
     for df, rows in ((odd, ODD), (twice, TWICE)):
-        assert null((r["d"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edit_half(df).collect()) == null(expect([d[:2] for d in rows]))
+        want = null((i, len(t), digest(e)) for i, t, e, _ in edited([d[:2] for d in rows]))
+        assert null((r["d"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edit_half(df).collect()) == want
     assert fingerprints.edit_half(none).collect() == []
 
 
+def test_fingerprints_of_one_doc_id_are_spread(spark):
+    rows = [(7, f"text {i} of many") for i in range(300)] + [(1, "first"), (9, "last one")]
+    df = fingerprints.edit_half(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = df.withColumn("part", F.spark_partition_id()).where("d = 7").collect()
+    assert len(got) == 300 and len({r["part"] for r in got}) > 1
+    texts = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for _, a in rows for _, b in rows}
+    assert all(r["edited_sha256"] in texts for r in got)
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
+    import numpy as np
+
     r = random.Random(1)
+    whole = lambda t: fingerprints.Prefixes(fingerprints.code_points(t))
     for _ in range(60):
         a, b = ("".join(r.choice("abé日") for _ in range(r.randint(0, 200))) for _ in range(2))
-        x, y = (fingerprints.Prefixes(fingerprints.code_points(t)) for t in (a, b))
+        x, y = whole(a), whole(b)
         k, m = r.randint(0, len(a)), r.randint(0, len(b))
-        whole = fingerprints.Prefixes(fingerprints.code_points(a[:k] + b[:m]))
-        assert fingerprints.fingerprint(fingerprints.Joined(x, k, y, m)) == fingerprints.fingerprint(whole)
+        assert fingerprints.fingerprint(fingerprints.Joined(x, k, y, m)) == fingerprints.fingerprint(whole(a[:k] + b[:m]))
         n = 0
         while k + n < len(a) and m + n < len(b) and a[k + n] == b[m + n]:
             n += 1
         assert x.common(k, y, m) == n
-    f = [fingerprints.fingerprint(fingerprints.Prefixes(fingerprints.code_points(t))) for t in ("x" * 100, "x" * 99 + "y", "")]
-    assert fingerprints.likeness(f[0], f[0]) == 1 and 0.9 < fingerprints.likeness(f[0], f[1]) < 1 and fingerprints.likeness(f[0], f[2]) == 0
+        n = 0
+        while n < min(k, m) and a[k - n - 1] == b[m - n - 1]:
+            n += 1
+        assert x.common(k, y, m, back=True) == n
+    far = whole("ab" * 100_000)  # beyond the table of powers
+    same = far.spans(np.array([0, 150_000]), np.array([40, 150_040]))
+    assert all(h[0] == h[1] for h in same) and far.common(2, far, 160_000) == 40_000 and far.common(1, far, 160_000) == 0
+
+
+def test_likeness_of_scattered_edits_and_moved_passages():
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    text, other = " ".join(words[:800]), " ".join(words[800:1600])
+
+    def like(a, b):
+        x, y = (fingerprints.Prefixes(fingerprints.code_points(t)) for t in (a, b))
+        return fingerprints.likeness(fingerprints.fingerprint(x), fingerprints.fingerprint(y), x, y)
+
+    scattered = " ".join(["new", *words[1:300], "word", *words[301:600], "put", *words[601:799], "in"])
+    moved = " ".join([*words[400:800], *words[:400]])
+    assert like(text, text) == 1 and like(text, other) < 0.1 and like(text, "") == 0 and like("", "") == 1
+    assert like(text, scattered) > 0.7 and like(text, moved) > 0.7 and 0.9 < like("x" * 100, "x" * 99 + "y") < 1
 
 
 def test_license_scan(spark, sf_dir, docs, odd, none):
