@@ -400,16 +400,59 @@ def test_class_lm(spark, sf_dir, docs, odd, none):
     assert model > base
     rows = odd.select("doc_id", F.lit(False).alias("held_out"), "text")
     for train in (rows, rows.limit(0)):
-        m, counts = class_lm.train(train)
-        assert class_lm.score(rows, m, counts).count() == len(ODD)
-    assert class_lm.score(rows.limit(0), m, counts).collect() == []
+        m, words = class_lm.train(train)
+        scored = class_lm.score(rows.union(rows), m, words).collect()
+        assert len(scored) == 2 * len(ODD) and all(math.isfinite(r["score"]) for r in scored)
+        assert len({(r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in scored}) == len(ODD)
+    assert class_lm.score(rows.limit(0), m, words).collect() == []
 
 
-def test_class_lm_joins_rare_words(spark, sf_dir, monkeypatch):
-    want = {r["doc_id"]: r["base_score"] for r in QUERIES["op9_class_lm"](spark, sf_dir).collect()}
-    monkeypatch.setattr(class_lm, "KNOWN", 600)  # nearly all words come by the join
-    got = {r["doc_id"]: r["base_score"] for r in QUERIES["op9_class_lm"](spark, sf_dir).collect()}
-    assert got == pytest.approx(want)
+def word_hash(word):
+    import pyarrow as pa
+
+    return int(common.signed(common.Words(pa.array([word]), common.NOT_SPACE, True).hash)[0])
+
+
+def test_class_lm_scores_equal_the_formula_and_add_up(spark, sf_dir, docs, monkeypatch):
+    import numpy as np
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 > 0").select("text")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text")
+    monkeypatch.setattr(class_lm, "HEAD", 300)
+    monkeypatch.setattr(class_lm, "KNOWN", 600)  # most words come by joins
+    m, words = class_lm.train(texts, size=300, classes=12)
+    of = {r["w"]: (r["n"], r["class"]) for r in words.collect()}
+    tokens = {i: [*h.space_words(t), None] for i, t in docs}
+    seen = Counter(w for i, ts in tokens.items() if i % 3 for w in ts)
+    assert len(of) == len(seen) == m.v and len(m.words) <= 600 < m.v / 2
+    hashes = {w: int(class_lm.END) if w is None else word_hash(w) for ts in tokens.values() for w in ts}
+    assert all(of[hashes[w]][0] == n for w, n in seen.items())
+    # probabilities: of all classes after each class, of all words and one not seen in each class
+    assert np.allclose((10**m.transitions).sum(1), 1)
+    mass = Counter()
+    for n, c in of.values():
+        mass[c] += (n + 1) / 10 ** m.total[c]
+    mass[m.unseen] += 1 / 10 ** m.total[m.unseen]
+    assert all(x == pytest.approx(1) for x in mass.values())
+    got = {r["doc_id"]: r["score"] for r in class_lm.score(rows, m, words).collect()}
+    for i, ts in tokens.items():
+        before, want = of[int(class_lm.END)][1], 0.0
+        for w in ts:
+            n, c = of.get(hashes[w], (0, m.unseen))
+            want += m.transitions[before, c] + math.log10(n + 1) - m.total[c]
+            before = c
+        assert got[i] == pytest.approx(want)
+
+
+def test_class_lm_puts_words_of_a_kind_together(spark):
+    r = random.Random(7)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "abcd"]
+    texts = [" ".join(r.choice(kinds[k]) for _ in range(10) for k in (0, 1, 2, 3)) for _ in range(400)]
+    _, words = class_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), size=60, classes=6)
+    of = {x["w"]: x["class"] for x in words.collect()}
+    own = [Counter(of[word_hash(w)] for w in kind).most_common(2) for kind in kinds]
+    # half of the words aren't in the head
+    assert all(sum(n for _, n in c) >= 28 for c in own) and len({c[0][0] for c in own}) == 4
 
 
 def test_simhash(spark, sf_dir, docs, odd, none, twice):
