@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, save, table
+from .common import blocks, save, settled, table
 from .tokens import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -149,4 +149,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: i
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return settled("packed", lambda: pack(table(spark, sf_dir, "documents"), with_ids=False))

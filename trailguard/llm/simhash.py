@@ -9,7 +9,8 @@ between distinct fingerprints only: copies share one. Groups are the connected c
 hooking to the least neighbour under a fresh random order and contraction, every round a table in the shared folder.
 
 Null and empty texts have no words and the fingerprint zero, linked like any other; a null doc_id counts as the smallest;
-rows with one doc_id are documents of their own; an empty table gives no rows.
+rows with one doc_id are documents of their own; texts of any length are read whole, block by block; further columns don't
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, table, unkey
+from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, settled, table, unkey
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
@@ -270,4 +271,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return settled("near", lambda: near_duplicates(table(spark, sf_dir, "documents")))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Joined, Runs, Words, blocks, key, mix, save, signed, table, unkey
+from .common import NOT_SPACE, Joined, Runs, Words, blocks, key, mix, save, settled, signed, table, unkey
 
 WINDOW, ROUNDS = 20, 3
 
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"), keep_rows=False)
+    found = settled("kept", lambda: remove_repeats(table(spark, sf_dir, "documents"), keep_rows=False))
     return found.select(unkey("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
