@@ -465,6 +465,24 @@ def test_simhash(spark, sf_dir, docs, odd, none, twice):
     assert simhash.near_duplicates(none).collect() == [] and simhash.near_duplicates(twice).count() == len(TWICE)
 
 
+def test_parity_bits_differ_no_more_than_the_shingles_do():
+    import numpy as np
+    import pyarrow as pa
+
+    r, none = random.Random(1), np.zeros(0, np.int64)
+    texts = ["", "a b", " ".join(r.choices("abcdefghij", k=400))] + [" ".join(r.choices([f"w{i}" for i in range(50)], k=r.randint(1, 900))) for _ in range(40)]
+    texts += [" ".join([*t.split()[:-3], "x", "y"]) for t in texts[2:]]
+    shingles, at = simhash.shingles(pa.array(texts), 5)
+    n, _, parity = simhash.prefixes(shingles, at, 0.8, none, none)
+    bits = np.array(parity.to_pylist(), np.int64).view(np.uint64)
+    own = [set(shingles[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    for i in range(len(texts)):
+        assert n[i].as_py() == len(own[i])
+        for j in range(i):
+            differ = sum(int(x).bit_count() for x in bits[i] ^ bits[j])
+            assert differ <= len(own[i] ^ own[j]) and differ % 2 == len(own[i] ^ own[j]) % 2
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -28,8 +28,10 @@ from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, settl
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
-#: Texts of the sample that tells common shingles, and at most how many of these are ordered by frequency.
-SAMPLE, COMMON = 10_000, 500_000
+#: The share of the texts that tells which shingles are common, and how many of these, the most common, are ordered.
+SHARE, COMMON = 0.25, 500_000
+#: Words of 64 bits in a text's parity bits.
+PARITY = 8
 _ASCII_LOWER = LOWER.tobytes()
 
 
@@ -52,7 +54,7 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 0, similarity: float = 1.0) -> DataFrame:
     """doc (the doc_id as a key), fp (the fingerprint as a signed long), sum (a hash of the text) of all documents (doc_id,
-    text). Where `words` isn't 0 also bands, size and prefix of their shingles of that many words."""
+    text). Where `words` isn't 0 also bands, size, prefix and parity of their shingles of that many words."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words) if words else None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 0, similarity: floa
                 columns += [band_hashes(h, at), *prefixes(h, at, similarity, *common.value)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc long, fp long, sum long" + (", bands array<long>, size int, prefix array<long>" if words else "")
+    schema = "doc long, fp long, sum long" + (", bands array<long>, size int, prefix array<long>, parity array<long>" if words else "")
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(key().alias("doc"), "text", F.xxhash64("text").alias("sum")).mapInArrow(rows, schema)
 
@@ -81,7 +83,7 @@ def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, sorted, and how many. They only set the order in which prefixes take
+    """The most common shingles of a share of the texts, sorted, and how many of these have each. They only set the order in which prefixes take
     shingles: every order gives the same links, one by frequency the fewest candidates."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,16 +96,17 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
 
-    n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))))
+    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(int(SHARE * (1 << 30))))
     counts = picked.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def prefixes(h: np.ndarray, at: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """For each text the number n of its distinct shingles, and the first n - ceil(similarity * n) + 1 of them in the order
-    by frequency. Of two texts of at least that similarity, the prefixes have a shingle in common."""
+def prefixes(h: np.ndarray, at: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For each text the number n of its distinct shingles; the first n - ceil(similarity * n) + 1 of them in the order
+    by frequency: of two texts of at least that similarity, the prefixes have a shingle in common; and its parity bits, each
+    of which says whether the number of shingles that fall on it is odd: two texts' bits differ in no more places than there
+    are shingles that only one of them has."""
     h = h.view(np.int64)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     rank = np.zeros(len(h), np.int64)
@@ -118,7 +121,14 @@ def prefixes(h: np.ndarray, at: np.ndarray, similarity: float, common: np.ndarra
     n = np.bincount(text, minlength=len(at) - 1)
     take = np.where(n, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
     inside = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(take, n)
-    return pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(h[inside]))
+    bit = mix(h.view(np.uint64) ^ np.uint64(0x2127599BF4325C37))
+    cell = text * PARITY + (bit >> np.uint64(6)).astype(np.int64) % PARITY
+    order = np.argsort(cell, kind="stable")
+    odd, first = np.zeros((len(at) - 1) * PARITY, np.uint64), np.flatnonzero(np.append(True, np.diff(cell[order]) > 0)[: len(cell)])
+    if len(first):
+        odd[cell[order][first]] = np.bitwise_xor.reduceat((np.uint64(1) << (bit & np.uint64(63)))[order], first)
+    parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY), pa.int32()), pa.array(odd.view(np.int64)))
+    return pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(h[inside])), parity
 
 
 def band_hashes(h: np.ndarray, at: np.ndarray) -> pa.ListArray:
@@ -181,9 +191,10 @@ def missed(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int, sim
 
     Such texts have a shingle in common that is in the longer one's prefix and among the first n - ceil(2s / (1 + s) n) + 1
     of the other's n; the first one in common also stands so early in both that enough shingles follow. Lists of texts
-    that have one root are left out before texts are paired."""
-    one = prints.where("size > 0").groupBy("sum").agg(F.first("fp").alias("fp"), F.first("size").alias("n"), F.first("prefix").alias("prefix"))
-    rooted = save(one.join(roots.toDF("fp", "root"), "fp", "left").select("sum", "n", F.coalesce("root", "fp").alias("root"), "prefix"), "prefixes")
+    that have one root are left out before texts are paired, and pairs whose parity bits differ too much for the similarity
+    before their texts are read."""
+    one = prints.where("size > 0").groupBy("sum").agg(F.first("fp").alias("fp"), F.first("size").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    rooted = save(one.join(roots.toDF("fp", "root"), "fp", "left").select("sum", "n", F.coalesce("root", "fp").alias("root"), "prefix", "parity"), "prefixes")
     lists = rooted.select("root", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     mixed = save(lists.where("least < most").select("h"), "mixed")
     postings = save(rooted.select("sum", "n", "root", F.posexplode("prefix").alias("i", "h")).join(mixed, "h"), "postings")
@@ -193,6 +204,10 @@ def missed(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int, sim
     sizes = (F.col("n_x") >= similarity * F.col("n_y") - 1e-6) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
     rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6
     pairs = save(x.join(y, (x["h"] == y["h"]) & apart & sizes & rest).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "candidates")
+    bits = [save(pairs.select(c).distinct().join(rooted.select(F.col("sum").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")), c), "parity") for c in "ab"]
+    differ = sum((F.bit_count(F.col("p_a")[k].bitwiseXOR(F.col("p_b")[k])) for k in range(PARITY)), F.lit(0))
+    alike = differ <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = save(pairs.join(bits[0], "a").join(bits[1], "b").where(alike).select("a", "b"), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sum")).distinct()
     texts = docs.select(F.xxhash64("text").alias("sum"), "text").join(wanted, "sum").groupBy("sum").agg(F.first("text").alias("text"))
     near = verified(pairs, save(texts, "texts"), words, similarity)
