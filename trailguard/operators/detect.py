@@ -115,10 +115,11 @@ def annotate(log: DataFrame, decisions: DataFrame) -> DataFrame:
 def redact_rows(rows: DataFrame, forms_: DataFrame, column: str) -> DataFrame:
     """column with every form of the secrets that its session had registered by then replaced by its preview."""
     f = forms_.select("session_id", "taint_n", F.struct("taint_ord", "form_ord", "form_value", "preview").alias("f"))
-    known = rows.select("session_id", "n").distinct().join(f, "session_id").where("taint_n <= n")
-    lists = known.groupBy("session_id", "n").agg(F.array_sort(F.collect_list("f")).alias("_forms"))
-    none = F.slice(F.col("_forms"), 1, 0)
-    return rows.join(lists, ["session_id", "n"], "left").withColumn(column, F.when(F.col("_forms").isNull(), F.col(column)).otherwise(redact(column, F.coalesce("_forms", none)))).drop("_forms")
+    # a session's forms are gathered once, and each row takes those known by then
+    lists = f.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("f.*", "taint_n"))).alias("_forms"))
+    own = ("taint_ord", "form_ord", "form_value", "preview")
+    known = F.transform(F.filter("_forms", lambda x: x["taint_n"] <= F.col("n")), lambda x: F.struct(*[x[c].alias(c) for c in own]))
+    return rows.join(lists, "session_id", "left").withColumn(column, F.when(F.col("_forms").isNull(), F.col(column)).otherwise(redact(column, known))).drop("_forms")
 
 
 def timeline(trips: DataFrame, log: DataFrame) -> DataFrame:

@@ -66,16 +66,15 @@ def attribute_processes(syscalls: DataFrame, registry: DataFrame) -> DataFrame:
     """session_id and server_id of the process that had the pid at the time: of intervals that hold it, the latest."""
     r = registry.select(F.col("node").alias("_node"), F.col("pid").alias("_p"), F.col("start_ts").alias("_start"), F.col("end_ts").alias("_end"), F.col("session_id").alias("_session"), F.col("server_id").alias("_server"))
     # union and a window instead of a range join: one sort, however many processes had the pid
-    tagged = syscalls.withColumn("_row", F.monotonically_increasing_id())
     starts = r.select(F.col("_node").alias("node"), F.col("_p").alias("pid"), F.col("_start").alias("_at"), F.lit(0).alias("_kind"), F.struct("_start", "_end", "_session", "_server").alias("_owner"))
-    calls = tagged.select("node", "pid", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), "_row")
+    calls = syscalls.select("node", "pid", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(*syscalls.columns).alias("_call"))
     order = Window.partitionBy("node", "pid").orderBy("_at", "_kind")
     both = starts.unionByName(calls, allowMissingColumns=True).withColumn("_o", F.last("_owner", ignorenulls=True).over(order)).where("_kind = 1")
     inside = F.coalesce(F.col("_o._end"), F.lit("9999-12-31").cast("timestamp")) > F.col("_at")
-    found = both.select("_row", F.when(inside, F.col("_o._session")).alias("_session"), F.when(inside, F.col("_o._server")).alias("_server"))
-    out = tagged.join(found, "_row", "left")
-    own = F.col("session_id") if "session_id" in syscalls.columns else F.lit(None).cast("string")
-    return out.withColumns({"session_id": F.coalesce(F.nullif(own, F.lit("")), F.col("_session")), "server_id": F.col("_server")}).drop("_row", "_session", "_server")
+    owner = lambda c: F.when(inside, F.col(f"_o.{c}"))
+    own = F.col("_call.session_id") if "session_id" in syscalls.columns else F.lit(None).cast("string")
+    kept = [F.col(f"_call.{c}") for c in syscalls.columns if c not in ("session_id", "server_id")]
+    return both.select(*kept, F.coalesce(F.nullif(own, F.lit("")), owner("_session")).alias("session_id"), owner("_server").alias("server_id"))
 
 
 def attribute_pods(syscalls: DataFrame, cgroups: DataFrame, pids: DataFrame) -> DataFrame:
@@ -129,12 +128,15 @@ def split_attributed(syscalls: DataFrame, reason: str = "no session attribution
 def pair_responses(requests: DataFrame, responses: DataFrame, timeout_s: int = RPC_TIMEOUT_S) -> DataFrame:
     """Requests (session_id, rpc_id, ts, tool_name) with the first response within the timeout; ts_response is null and
     timed_out true without one."""
-    r = responses.select("session_id", "rpc_id", F.col("ts").alias("ts_response"), F.col("result").alias("result"))
-    near = (F.col("ts_response") >= F.col("ts")) & (F.col("ts_response") <= F.col("ts") + F.make_interval(secs=F.lit(timeout_s)))
-    q = requests.withColumn("_row", F.monotonically_increasing_id())
-    rows = q.join(r, ["session_id", "rpc_id"], "left").withColumn("_r", F.when(near, F.struct("ts_response", "result"))).drop("ts_response", "result")
-    keep = [F.first(c).alias(c) for c in q.columns if c != "_row"]
-    return rows.groupBy("_row").agg(*keep, F.min("_r").alias("_r")).select(*[c for c in q.columns if c != "_row"], F.col("_r.ts_response").alias("ts_response"), F.col("_r.result").alias("result"), F.col("_r").isNull().alias("timed_out"))
+    keys = ["session_id", "rpc_id"]
+    # union and a window instead of a join: clients use the same few ids again and again
+    r = responses.select(*keys, F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(F.col("ts").alias("ts_response"), F.col("result").alias("result")).alias("_r"))
+    q = requests.select(*keys, F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(*requests.columns).alias("_q"))
+    # backwards in time the last response seen is the next one; of equal times the least
+    order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_r"))
+    rows = r.unionByName(q, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_kind = 0")
+    near = F.coalesce(F.col("_r.ts_response") <= F.col("_at") + F.make_interval(secs=F.lit(timeout_s)), F.lit(False))
+    return rows.select("_q.*", F.when(near, F.col("_r.ts_response")).alias("ts_response"), F.when(near, F.col("_r.result")).alias("result"), (~near).alias("timed_out"))
 
 
 def route_tools(registrations: DataFrame) -> DataFrame:

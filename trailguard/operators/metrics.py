@@ -21,9 +21,15 @@ def deliveries_total(outcomes: DataFrame) -> DataFrame:
 
 
 def counter_increments(counters: DataFrame) -> DataFrame:
-    """name, ts, increment of counters that only grow; what is lower than the highest before it counts nothing."""
-    w = Window.partitionBy("name").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return counters.withColumn("increment", F.greatest(F.lit(0), F.col("value") - F.coalesce(F.max("value").over(w), F.lit(0))))
+    """name, ts, increment of counters that only grow; what is lower than the highest before it counts nothing. Highest by
+    day first, then within days, so that no task sorts all of a counter's rows."""
+    day = F.to_date("ts")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    days = counters.groupBy("name", day.alias("_day")).agg(F.max("value").alias("_most"))
+    days = days.withColumn("_before", F.max("_most").over(before("name").orderBy("_day"))).drop("_most")
+    rows = counters.withColumn("_day", day).join(days, ["name", "_day"])
+    highest = F.greatest(F.max("value").over(before("name", "_day").orderBy("ts")), F.col("_before"), F.lit(0))
+    return rows.withColumn("increment", F.greatest(F.lit(0), F.col("value") - highest)).drop("_day", "_before")
 
 
 def session_summary(log: DataFrame, decisions: DataFrame, taint: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def trips_by(evidence: DataFrame, window: str = "1 hour") -> DataFrame:
     when = F.timestamp_micros(F.floor(F.col("trip_ts_ns") / 1000).cast("long"))
     to = F.coalesce("sink_call.dest_ip", "sink_call.tool_name")
     rows = evidence.select(F.window(when, window)["start"].alias("window_start"), "verdict", to.alias("destination"), "session_id")
-    return rows.rollup("window_start", "verdict", "destination").agg(F.count(F.lit(1)).alias("trips"), F.approx_count_distinct("session_id").alias("sessions"))
+    return rows.rollup("window_start", "verdict", "destination").agg(F.count(F.lit(1)).alias("trips"), F.count_distinct("session_id").alias("sessions"))
 
 
 def retain(evidence: DataFrame, most: int, tenant: str | None = None) -> DataFrame:

@@ -171,31 +171,22 @@ def leg_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with the columns that detection takes; its texts are plain, so none is parsed."""
-    log = _lit(_tagged(spark, sf_dir))
-    sink = F.col("is_sink") & (F.col("kind") == "request")
+    """The log as detection takes it: results are content blocks, as tools give them, each a sentence, so that the rolling
+    buffer runs no secret into the next text."""
+    log = _tagged(spark, sf_dir)
+    block = F.struct(F.lit("text").alias("type"), F.concat("text", F.lit(".")).alias("text"))
     none = lambda t: F.lit(None).cast(t)
-    detail = F.when(F.col("lights_source"), F.concat(F.lit("tool "), "tool_name", F.lit(" returned sensitive data"))).when(F.col("lights_untrusted"), F.concat(F.lit("untrusted content from tool result (tool="), "tool_name", F.lit(")"))).when(sink, F.concat(F.lit("external sink tool "), "tool_name", F.lit(" invoked")))
-    label = F.when(F.col("kind") == "result", F.concat("tool_name", F.lit(" result returned"))).when(F.col("kind") == "request", F.concat("tool_name", F.lit(" called")))
-    return cut(log.withColumns({"plane": F.lit("tool"), "seq": F.col("n"), "source": F.concat_ws("/", "server_id", "tool_name"), "detail": detail, "label": label, "can_trip": sink, "payload": F.lit(False), "syscall": none("string"), "dest_ip": none("string"), "dest_port": none("int"), "pid": none("int"), "comm": none("string"), "path": none("string")}))
+    frames = {"plane": F.when(F.col("kind") == "syscall", "syscall").otherwise("tool"), "seq": F.col("n"), "result": F.to_json(F.struct(F.array(block).alias("content"))), "tool_args": F.col("text")}
+    calls = {"syscall": F.when(F.col("kind") == "syscall", "connect"), "dest_port": none("int"), "pid": none("int")} | {c: none("string") for c in ("dest_ip", "comm", "path", "file_contents", "payload_excerpt")}
+    return cut(detect.prepare(log.withColumns(frames | calls), SETTINGS))
 
 
 def _taint_of(log: DataFrame) -> DataFrame:
-    return taint.taints(log.where("lights_source").select("session_id", "n", "source", "text"), SETTINGS.patterns, reassemble=False)
+    return detect.session_taints(log, SETTINGS)
 
 
 def _decisions(log: DataFrame) -> DataFrame:
-    """Verdicts by the plain stages: raw overlap and binding."""
-    keys = ["session_id", "n"]
-    sinks = log.where("can_trip")
-    states = cut(leg_states(log, SETTINGS.leg_ttl_s, SETTINGS.decay_after_calls))
-    hits = overlap.raw_hits(sinks.where("text is not null").select(*keys, "text"), taint.forms(_taint_of(log)), "contains")
-    lit = states.where("source_lit > 0 and untrusted_lit > 0 and sink_lit > 0").select(*keys, F.col("untrusted_lit").alias("epoch"))
-    bound = content_bound(sinks.select(*keys, "text").join(lit, keys), excerpts(log.where("lights_untrusted"), states))
-    rows = sinks.select(*keys, "ts", "plane", "kind", "text", *[c for c in detect.CALL]).join(states, keys).join(hits, keys, "left").join(bound.withColumn("bound", F.lit(True)), keys, "left")
-    rows = rows.withColumn("where_found", F.when(F.col("tainted_hash").isNotNull(), "sink args"))
-    rows = rows.withColumn("verdict", detect.verdict(F.col("tainted_hash").isNotNull(), (F.col("source_lit") > 0) & (F.col("untrusted_lit") > 0) & (F.col("sink_lit") > 0), F.coalesce("bound", F.lit(False))))
-    return rows.withColumns({"confidence": detect.confidence(), "action": detect.recommended_action("verdict", F.lit(False), SETTINGS.mode), "reason": detect.reason()})
+    return detect.decide(log, SETTINGS).where("kind = 'request'")
 
 
 @query("SELECT session_id, n, coalesce(verdict, 'none') AS verdict, match_form FROM verdicts", "verdicts")
@@ -369,13 +360,13 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_quantiles(samples)
 
 
-_SNAPSHOT = "SELECT 'node' || cast(user_id % 3 AS string) AS node, cast(user_id % 20 AS integer) AS pid, event_id % 50 AS start_time_ns FROM events WHERE event_type = '{0}'"
+_SNAPSHOT = "SELECT 'node' || cast(user_id % 3 AS string) AS node, cast(user_id % 20 AS integer) AS pid, event_id % 5000 AS start_time_ns FROM events WHERE event_type = '{0}'"
 
 
-@query(f"WITH a AS ({_SNAPSHOT.format('view')} AND event_id % 3 = 0), b AS ({_SNAPSHOT.format('click')} AND event_id % 3 = 1) SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+@query(f"WITH a AS ({_SNAPSHOT.format('view')}), b AS ({_SNAPSHOT.format('click')}) SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def process_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda kind, k: spark.sql(f"{_SNAPSHOT.format(kind)} AND event_id % 3 = {k}".replace("FROM events", "FROM {events}"), events=events(spark, sf_dir))
-    return enrich.process_diff(part("view", 0), part("click", 1))
+    part = lambda kind: spark.sql(_SNAPSHOT.format(kind).replace("FROM events", "FROM {events}"), events=events(spark, sf_dir))
+    return enrich.process_diff(part("view"), part("click"))
 
 
 _COUNTERS = "SELECT event_type AS name, ts, cast(floor(value) AS bigint) AS value, event_id FROM events"
@@ -413,15 +404,18 @@ c AS (SELECT count(*) AS scenarios, count(*) FILTER (WHERE o = 'tp') AS tp, coun
 SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS detection_rate, CASE WHEN tn + fp_soft + fp_exfil > 0 THEN (fp_soft + fp_exfil) / (tn + fp_soft + fp_exfil) ELSE 0 END AS fp_rate_any, CASE WHEN tn + fp_soft + fp_exfil > 0 THEN fp_exfil / (tn + fp_soft + fp_exfil) ELSE 0 END AS fp_rate_exfil FROM c""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as labelled scenarios, with verdicts from their texts' lengths."""
+    return scenarios.confusion(scenarios.classify(scenarios.trips(*_scenarios(spark, sf_dir))))
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("n"), F.length("text").alias("k"), "conv_id")
     labels = rows.select(F.col("session_id").alias("scenario_id"), F.when(F.col("conv_id") % 3 == 0, "malicious").otherwise("benign").alias("category"), (F.col("conv_id") % 9 == 0).alias("known_gap"), F.concat(F.lit("plane"), (F.col("conv_id") % 2).cast("string")).alias("variant")).distinct()
-    decisions = rows.withColumn("verdict", F.when(F.col("k") % 11 == 0, "EXFIL").when(F.col("k") % 13 == 0, "SUSPICIOUS"))
-    return scenarios.confusion(scenarios.classify(scenarios.trips(labels, decisions)))
+    return labels, rows.withColumn("verdict", F.when(F.col("k") % 11 == 0, "EXFIL").when(F.col("k") % 13 == 0, "SUSPICIOUS"))
 
 
-@query("SELECT window_start, verdict, destination, count(*) AS trips FROM (SELECT date_trunc('day', ts) AS window_start, verdict, 'send_message' AS destination FROM trips) GROUP BY ROLLUP (window_start, verdict, destination)", "trips")
+@query("SELECT window_start, verdict, destination, count(*) AS trips, count(DISTINCT session_id) AS sessions FROM (SELECT date_trunc('day', ts) AS window_start, verdict, 'send_message' AS destination, session_id FROM trips) GROUP BY ROLLUP (window_start, verdict, destination)", "trips")
 def trip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.trips_by(_evidence(spark, sf_dir), "1 day").drop("sessions")
+    return metrics.trips_by(_evidence(spark, sf_dir), "1 day")
 
 
 @query()
@@ -442,3 +436,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = overlap_first_hit(spark, sf_dir)
     w = Window.partitionBy("session_id").orderBy("n")
     return hits.withColumn("leak", F.row_number().over(w))
+
+
+from . import attribution  # noqa: E402, F401  its queries are registered here too
