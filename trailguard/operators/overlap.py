@@ -70,18 +70,18 @@ def layers(cands: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def decoded_hits(sinks: DataFrame, forms: DataFrame, plan: str = "contains") -> DataFrame:
+def decoded_hits(sinks: DataFrame, forms: DataFrame, plan: str = "anchor") -> DataFrame:
     """First secret behind layers of encoding; only plain and single-layer forms are looked for there."""
     rows = layers(candidates(sinks)).withColumnRenamed("c", "text")
     single = forms.where(F.col("form").isin(*SINGLE)).withColumn("form_value", as_bytes("form_value"))
     return _first(_matches(rows, single, plan).withColumn("stage", F.lit(3)))
 
 
-def gzip_hits(sinks: DataFrame, forms: DataFrame) -> DataFrame:
+def gzip_hits(sinks: DataFrame, forms: DataFrame, plan: str = "anchor") -> DataFrame:
     """Secrets in gzip members in base64."""
     rows = sinks.select("session_id", "n", F.posexplode(inflated("text")).alias("pos", "text")).withColumn("path", F.lit(""))
     plain = forms.where("form = 'literal'").withColumns({"form_value": as_bytes("form_value"), "form_ord": F.lit(9), "form": F.lit("gzip_base64")})
-    return _first(_matches(rows, plain, "contains").withColumns({"stage": F.lit(1), "match_form": F.col("form")}))
+    return _first(_matches(rows, plain, plan).withColumns({"stage": F.lit(1), "match_form": F.col("form")}))
 
 
 def overlaps(sinks: DataFrame, forms: DataFrame, decode: bool = True, plan: str = "anchor") -> DataFrame:
