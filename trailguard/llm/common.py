@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Stands for a null doc_id inside the operators: it sorts first, as null does, and is a key that joins.
 NULL_ID = -(2**63)
+#: Deletes a job's shuffle files when it ends, not when the driver happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Scratch tables made by the caller that settles them; those of nobody stay.
 _owner: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -48,12 +51,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def run_once(spark: SparkSession) -> Iterator[None]:
+    """For jobs whose plans never run again: their shuffle files go as they end, so disk holds one job's at a time."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, so a lost executor costs no
     recomputation and every later use sees the same rows."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with run_once(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, save, settled, table, unkey
+from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, run_once, save, settled, table, unkey
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
@@ -98,7 +98,8 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
     picked = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(int(SHARE * (1 << 30))))
     counts = picked.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
+    with run_once(docs.sparkSession):
+        found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
