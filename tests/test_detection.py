@@ -1,4 +1,6 @@
+import base64
 import dataclasses
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,14 @@ def test_annotations(log, decisions):
     out = {(r["session_id"], r["n"]): r for r in detect.annotate(log, decisions).collect()}
     assert out["literal", 3]["decision"] == "blocked" and out["literal", 3]["block_reason"] == "trifecta EXFIL: send_message"
     assert out["literal", 1]["decision"] == "forwarded"
+
+
+def test_redaction_reaches_into_gzip_members(spark):
+    member = lambda t: base64.b64encode(gzip.compress(t.encode())).decode()
+    secret, other = "acct_1234567890", member("nothing to hide")
+    held = member(f"a {secret} b")
+    texts = [("s", 1, f"x={held}"), ("s", 2, f"x={held}&y={other}&z={secret}"), ("t", 2, f"x={held}"), ("s", 3, None)]
+    rows = spark.createDataFrame(texts, "session_id string, n long, text string")
+    known = taint.forms(spark.createDataFrame([("s", 2, 1, secret, "h", "acc...7890")], "session_id string, n long, taint_ord int, value string, hash string, preview string"))
+    out = {(r["session_id"], r["n"]): r["text"] for r in detect.redact_rows(rows, known, "text").collect()}
+    assert out == {("s", 1): f"x={held}", ("s", 2): f"x=acc...7890&y={other}&z=acc...7890", ("t", 2): f"x={held}", ("s", 3): None}

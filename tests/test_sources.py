@@ -43,6 +43,37 @@ def test_outbox_and_sinks(spark, tmp_path):
     assert seen == [(3, 2), (3, 2)] and spark.read.json(str(tmp_path / "e")).count() == 2
 
 
+def test_store_keeps_the_latest(spark, tmp_path):
+    path, day = str(tmp_path / "store"), 86_400_000_000_000
+    for first in (0, 5):
+        rows = spark.range(first, first + 5).select(F.format_string("s%02d", "id").alias("session_id"), (F.col("id") * (day // 2)).alias("trip_ts_ns"), F.lit("EXFIL").alias("verdict"))
+        writers.append_evidence(rows, path)
+    new = writers.compact_evidence(spark, path, 4)
+    kept = spark.read.json(new)
+    assert sorted(r["session_id"] for r in kept.collect()) == ["s06", "s07", "s08", "s09"] and "trip_date" in kept.columns
+    assert spark.read.json(path).count() == 10
+    assert spark.read.json(writers.compact_evidence(spark, new, 0)).count() == 4
+
+
+def test_forwarded_taint_is_what_the_feed_takes(spark, tmp_path):
+    rows = [("k8s:u1", 3, "srv/t", "acct_12345678", "h1", "acc...5678"), ("k8s:bad", 4, "srv/t", "acct_99999999", "h2", "acc...9999"), ("plain", 1, "srv/t", "acct_00000000", "h3", "p")]
+    taint = spark.createDataFrame(rows, "session_id string, n long, source string, value string, hash string, preview string")
+    sent = str(tmp_path)
+
+    def send(pod, message):
+        if pod == "bad":
+            raise OSError
+        with open(f"{sent}/{pod}", "a") as f:
+            f.write(message + "\n")
+        return 202
+
+    out = writers.forward_taint(taint, send).collect()
+    assert sorted((r["session_id"], r["hash"], r["status"]) for r in out) == [("k8s:bad", "h2", "error"), ("k8s:u1", "h1", "ok")]
+    good, bad = readers.taint_feed(spark, f"{sent}/u1")
+    got = readers.feed_taint(good).first()
+    assert bad.isEmpty() and (got["session_id"], got["value"], got["hash"], got["seq"], len(got["forms"])) == ("k8s:u1", "acct_12345678", "h1", 3, 9)
+
+
 def test_attribution(spark):
     ts = "timestamp'2024-01-01 00:00:0{}'"
     calls = spark.sql(f"select * from values ('n', 1, {ts.format(1)}, 'connect', '1.1.1.1', 80, 1), ('n', 1, {ts.format(6)}, 'write', null, null, 2), ('n', 1, {ts.format(7)}, 'write', null, null, 3) as t(node, pid, ts, syscall, dest_ip, dest_port, ingest_seq)")

@@ -208,23 +208,40 @@ def result_text(raw: pd.Series) -> pd.Series:
 _GZIP = re.compile(r"H4sI[A-Za-z0-9+/]*={0,2}")
 
 
+def _inflate(token: str) -> str | None:
+    try:
+        raw = base64.b64decode(token + "=" * (-len(token) % 4))
+        return zlib.decompressobj(31).decompress(raw, 65536).decode("latin-1")
+    except (ValueError, zlib.error):
+        return None
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def inflated(text: pd.Series) -> pd.Series:
     """What gzip members in base64 within a text inflate to (at most 64 KiB each), whichever compressor made them."""
 
     def one(t):
-        out = []
-        for token in _GZIP.findall(t) if isinstance(t, str) else ():
-            try:
-                raw = base64.b64decode(token + "=" * (-len(token) % 4))
-                out.append(zlib.decompressobj(31).decompress(raw, 65536).decode("latin-1"))
-            except (ValueError, zlib.error):
-                continue
-        return out
+        held = map(_inflate, _GZIP.findall(t) if isinstance(t, str) else ())
+        return [x for x in held if x is not None]
 
     return text.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def redact_inflated(text: pd.Series, literals: pd.Series) -> pd.Series:
+    """text with each gzip member in base64 that holds one of the literals (array of form_value, preview; the first that
+    it holds) replaced by its preview."""
+
+    def one(t, known):
+        def swap(token):
+            held = _inflate(token[0]) or ""
+            return next((f["preview"] for f in known if f["form_value"].encode().decode("latin-1") in held), token[0])
+
+        return _GZIP.sub(swap, t) if isinstance(t, str) and known is not None else t
+
+    return pd.Series([one(t, known) for t, known in zip(text, literals, strict=True)], dtype=object)
+
+
 def grams(text: ColumnOrName, n: int) -> Column:
     """Distinct runs of n characters."""
     t = col(text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import redact, result_text
+from ..functions.text import redact, redact_inflated, result_text
 from ..tables import cut
 from .bind import content_bound
 from .legs import excerpts, leg_states
@@ -113,13 +113,17 @@ def annotate(log: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def redact_rows(rows: DataFrame, forms_: DataFrame, column: str) -> DataFrame:
-    """column with every form of the secrets that its session had registered by then replaced by its preview."""
+    """column with every form of the secrets that its session had registered by then replaced by its preview, and so are
+    gzip members that hold one. Only texts that may have a member leave the JVM."""
     f = forms_.select("session_id", "taint_n", F.struct("taint_ord", "form_ord", "form_value", "preview").alias("f"))
     # a session's forms are gathered once, and each row takes those known by then
     lists = f.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("f.*", "taint_n"))).alias("_forms"))
     own = ("taint_ord", "form_ord", "form_value", "preview")
     known = F.transform(F.filter("_forms", lambda x: x["taint_n"] <= F.col("n")), lambda x: F.struct(*[x[c].alias(c) for c in own]))
-    return rows.join(lists, "session_id", "left").withColumn(column, F.when(F.col("_forms").isNull(), F.col(column)).otherwise(redact(column, known))).drop("_forms")
+    out = rows.join(lists, "session_id", "left").withColumn("_forms", known).withColumn(column, F.when(F.col("_forms").isNull(), F.col(column)).otherwise(redact(column, "_forms")))
+    member = F.contains(F.col(column), F.lit("H4sI"))
+    literals = F.filter("_forms", lambda x: (x["form_ord"] == 0) & (x["form_value"] != ""))
+    return out.withColumn(column, F.coalesce(redact_inflated(F.when(member, F.col(column)), F.when(member, literals)), column)).drop("_forms")
 
 
 def timeline(trips: DataFrame, log: DataFrame) -> DataFrame:

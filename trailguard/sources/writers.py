@@ -6,11 +6,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import render
+from ..functions.text import encoded_forms
+from ..operators.metrics import retain
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -27,6 +29,15 @@ def append_evidence(evidence: DataFrame, path: str, fmt: str = "json") -> None:
     _checked(evidence).withColumn("trip_date", day).write.mode("append").partitionBy("trip_date").format(fmt).save(path)
 
 
+def compact_evidence(spark: SparkSession, path: str, most: int, fmt: str = "json", tenant: str | None = None) -> str:
+    """The store of append_evidence with its latest `most` records, of each tenant if named (all for 0), in a new folder
+    beside path; returns it. Nothing of the old one is touched, so a job that fails leaves it whole, and who reads it goes
+    on; the caller points readers and appends to the new one and removes the old."""
+    rows = spark.read.schema(f"{schemas.EVIDENCE}, trip_date date").format(fmt).load(path)
+    kept = retain(rows.withColumn("id", F.col("session_id")), most, tenant).drop("id")
+    return replace(kept, path, fmt, "trip_date")
+
+
 def evidence_sink(path: str, fmt: str = "json") -> Sink:
     """For foreachBatch: a batch that is run again overwrites what it wrote."""
 
@@ -96,8 +107,29 @@ def append_audit(audit: DataFrame, path: str) -> None:
     _checked(audit).write.mode("append").json(path)
 
 
-def replace(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+def forward_taint(taint: DataFrame, send: Callable[[str, str], int]) -> DataFrame:
+    """session_id, hash, status (as of deliver) of secrets (taint.taints) told to the sensor of their session's pod:
+    send(pod uid, message) gets a message that readers.split_feed takes. Only sessions of pods have a sensor. Values leave
+    in messages alone; what is returned, and may be written, has their hashes."""
+    variants = F.transform(encoded_forms("value"), lambda f: F.struct(f["form"].alias("form"), f["form_value"].alias("value")))
+    pod = F.substring("session_id", len("k8s:") + 1, 1 << 30)
+    message = F.struct(F.lit("register_taint").alias("op"), pod.alias("pod_uid"), "source", F.col("n").alias("seq"), "hash", "preview", "value", variants.alias("variants"))
+    told = taint.where(F.col("session_id").startswith("k8s:")).select(F.to_json(F.struct("session_id", "hash")).alias("id"), F.lit("taint").alias("kind"), pod.alias("target"), F.to_json(message).alias("payload"))
+    done = deliver(told, lambda kind, target, payload: send(target, payload))
+    return done.select(F.from_json("id", "session_id string, hash string").alias("k"), "status").select("k.*", "status")
+
+
+def taint_sink(send: Callable[[str, str], int], path: str) -> Sink:
+    """For foreachBatch over a stream of secrets: forwards them and keeps each batch's outcome."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        forward_taint(batch, send).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return sink
+
+
+def replace(df: DataFrame, path: str, fmt: str = "parquet", *by: str) -> str:
     """df in a new folder beside path; returns it. The caller points readers to it when it is whole."""
     to = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(to)
+    df.write.partitionBy(*by).format(fmt).save(to)
     return to
