@@ -1,13 +1,14 @@
 import dataclasses
+import time
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from trailguard.config import server_tags, tool_tags
-from trailguard.operators import detect, enrich
+from trailguard.operators import detect, enrich, metrics
 from trailguard.plans.agent_log import SETTINGS
 from trailguard.tables import cut
-from trailguard.streaming.sessions import Dimensions, detect_stream, late_rows, session_ends
+from trailguard.streaming.sessions import Dimensions, Drops, detect_stream, late_rows, session_ends, tag_sink, trip_counts
 
 from .scenarios import COLUMNS, START, rows
 
@@ -60,3 +61,43 @@ def test_dimensions_keep_the_last_good_version(spark, tmp_path):
     assert d.current().count() == 1
     p.write_text('{"other": 1}\n')
     assert "tags" in d.current().columns and d.errors
+
+
+def test_tags_are_those_of_each_batch(spark, tmp_path):
+    tools, servers, src, to = (tmp_path / x for x in ("tools.json", "servers.json", "in", "out"))
+    tools.write_text('{"tool_name":"t","tags":["external_sink"]}\n')
+    servers.write_text('{"server_id":"v","tags":["sensitive_source"]}\n')
+    sink = tag_sink(Dimensions(spark, str(tools)), Dimensions(spark, str(servers), "server_id"), str(to))
+    schema = "session_id string, n long, tool_name string, server_id string"
+
+    def feed(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        q = spark.readStream.schema(schema).parquet(str(src)).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+
+    feed(("s", 1, "t", "v"), ("s", 2, "u", "v"))
+    tools.write_text('{"tool_name":"u","tags":["external_sink"]}\n')
+    feed(("s", 3, "t", "v"), ("s", 4, "u", "v"))
+    got = {r["n"]: (r["is_source"], r["is_sink"]) for r in spark.read.parquet(str(to)).collect()}
+    assert got == {1: (False, True), 2: (True, False), 3: (True, False), 4: (False, True)}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src, drops = str(tmp_path / "in"), Drops()
+    schema = "verdict string, ts timestamp"
+    spark.streams.addListener(drops)
+    try:
+        for hours in (10, 20, 0):  # the last is far behind the watermark by then
+            spark.createDataFrame([("EXFIL", START + timedelta(hours=hours))], schema).coalesce(1).write.mode("append").parquet(src)
+            q = trip_counts(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").queryName("trips").outputMode("append")
+            q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            q.awaitTermination(60)
+        end = time.time() + 20
+        while time.time() < end and not any(name.endswith("/late") and n for name, _, n in drops.samples):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(drops)
+    rows = drops.counters(spark)
+    most = {r["name"]: r["value"] for r in rows.groupBy("name").agg(F.max("value").alias("value")).collect()}
+    assert most["trips/late"] == 1 and most["trips/read"] == 1
+    assert metrics.counter_increments(rows).count() == rows.count() and drops.counters(spark).isEmpty()

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..config import Settings
 from ..functions.text import encoded_forms
+from ..operators.enrich import resolve_tags
 from ..operators.legs import Legs
 
 #: What a stream of events must have: text is a result's text, arguments or payload.
@@ -109,13 +112,13 @@ class Dimensions:
     """Tag tables that are read anew at the start of each micro-batch; a version that can't be read or has no tags column
     leaves the last good one in place."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.good, self.errors = spark, path, None, []
+    def __init__(self, spark: SparkSession, path: str, key: str = "tool_name") -> None:
+        self.spark, self.path, self.key, self.good, self.errors = spark, path, key, None, []
 
     def current(self) -> DataFrame:
         try:
             table = self.spark.read.json(self.path)
-            if missing := {"tool_name", "tags"} - set(table.columns):
+            if missing := {self.key, "tags"} - set(table.columns):
                 raise ValueError(f"no column {', '.join(sorted(missing))}")
             self.good = table
         except Exception as e:  # noqa: BLE001  whatever is wrong with a new version, detection goes on with the old one
@@ -123,3 +126,46 @@ class Dimensions:
             if self.good is None:
                 raise
         return self.good
+
+
+def tag_sink(tools: Dimensions, servers: Dimensions, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over raw events: tags each micro-batch by the dimensions as they are then, for a detecting stream
+    that reads path. A batch that is run again overwrites what it wrote."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        tagged = resolve_tags(batch, tools.current().select("tool_name", "tags"), servers.current().select("server_id", "tags"))
+        tagged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return sink
+
+
+class Drops(StreamingQueryListener):
+    """Rows that streams dropped because they were late, and rows that they read, as counters that only grow (name, ts,
+    value), of which metrics.counter_increments tells the increments. A run of a query counts from zero."""
+
+    def __init__(self) -> None:
+        self.totals: dict[tuple[str, str], int] = {}
+        self.samples: list[tuple[str, float, int]] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        late = sum(max(0, o.numRowsDroppedByWatermark) for o in p.stateOperators)
+        for what, n in (("late", late), ("read", max(0, p.numInputRows))):
+            run, name = (str(p.runId), what), f"{p.name or p.id}/{what}"
+            self.totals[run] = self.totals.get(run, 0) + n
+            self.samples.append((name, time.time(), self.totals[run]))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        for what in ("late", "read"):
+            self.totals.pop((str(event.runId), what), None)
+
+    def counters(self, spark: SparkSession) -> DataFrame:
+        """The samples since the last call, one row per counter and batch; the caller appends them to its table."""
+        taken, self.samples = self.samples, []
+        return spark.createDataFrame(taken, "name string, at double, value long").select("name", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"), "value")
