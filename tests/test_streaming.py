@@ -8,33 +8,136 @@ from trailguard.config import server_tags, tool_tags
 from trailguard.operators import detect, enrich, metrics
 from trailguard.plans.agent_log import SETTINGS
 from trailguard.tables import cut
-from trailguard.streaming.sessions import Dimensions, Drops, detect_stream, late_rows, session_ends, tag_sink, trip_counts
+from trailguard.sources import readers
+from trailguard.sources.writers import taint_sink
+from trailguard.streaming.ordered import correlate_stream, fuse_stream
+from trailguard.streaming.sessions import Dimensions, Drops, detect_raw_stream, detect_stream, late_rows, secrets_stream, session_ends, tag_sink, trip_counts
 
-from .scenarios import COLUMNS, START, rows
+from .scenarios import COLUMNS, NOTE, PARTS, SECRET, START, b64, call, page, read, rows, send
 
 PLAIN = dataclasses.replace(SETTINGS, leg_ttl_s=1800, idle_timeout_s=7200)
-FIELDS = ["session_id", "n", "ts", "kind", "tool_name", "source", "text", "lights_source", "lights_untrusted", "lights_sink", "relight_sink", "can_trip"]
+OUT = ["session_id", "n", "verdict", "match_form", "where_found", "tainted_hash", "preview", "source_lit", "untrusted_lit", "sink_lit"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    raw = enrich.first_event(spark.createDataFrame(rows(), COLUMNS)).where("plane = 'tool'")
-    log = detect.prepare(enrich.resolve_tags(raw, tool_tags(spark, PLAIN), server_tags(spark, PLAIN)), PLAIN)
-    # the stream knows the raw stage and binding; the sessions that need others stay out
-    log = log.where("session_id not in ('three_layers', 'gzip', 'split_in_args', 'split_over_results')")
-    log = cut(log)
-    want = {(r["session_id"], r["n"], r["verdict"]) for r in detect.decide(log, PLAIN).where("verdict is not null").collect()}
-    src = str(tmp_path / "in")
-    events = log.select(*FIELDS)
-    for keep in (F.col("n") <= 2, F.col("n") > 2):
-        events.where(keep).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = detect_stream(stream, PLAIN, "1 day").writeStream.format("memory").queryName("decisions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+def source(spark, df, folder, files=3, event_time="ts"):
+    """A stream of df's rows dealt at random over so many micro-batches, and one far later row that moves the watermark on."""
+    df = df.withColumn("_file", F.floor(F.rand(7) * files)).persist()
+    for i in range(files):
+        df.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    last = df.drop("_file").limit(1).withColumns({event_time: F.lit("2039-01-01").cast("timestamp")} | ({"session_id": F.lit("~last")} if "session_id" in df.columns else {}))
+    last.coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def drain(stream, name, tmp_path):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return stream.sparkSession.table(name)
+
+
+def decided(rows):
+    return {tuple(r[c] for c in OUT) for r in rows.where("session_id <> '~last'").select(*OUT).collect()}
+
+
+def more_rows():
+    """Sessions besides the labelled ones: secrets over many chunks, newlines, repeated secrets, gzip of two secrets, odd texts."""
+    import base64
+    import gzip
+    import json
+
+    other = "api_key_0123456789abcdefXYZ"
+    both = base64.b64encode(gzip.compress(f"{other} {SECRET}".encode(), 1)).decode()
+    steps = {
+        "many_chunks": [read(f"chunk {i}") for i in range(20)] + [read(PARTS[0]), page("x"), read(PARTS[1] + "\n\n"), send(SECRET), send(b64(SECRET))],
+        "evicted_chunk": [read(PARTS[0])] + [read(f"chunk {i}") for i in range(16)] + [read(PARTS[1]), send(SECRET)],
+        "two_secrets": [read(f"{other} and token: {SECRET}"), send(f"{SECRET} {other}"), send(both), send(json.dumps({"z": other[:9], "zz": other[9:]}))],
+        "odd_texts": [read(None, result=None), read("é" * 40_000), send(None, tool_args=None), send(""), page("  \n "), send("日本" * 5000), call("write", None), call("write", b"\xff\xfe" + SECRET.encode())],
+        "nested_leaf": [read(), send(json.dumps({"b": [{"c": b64(b64(SECRET))}], "a": "AAAA"})), call("sendto", b64(SECRET[::-1]).encode())],
+        "same_time": [read(), *[send(SECRET, after=0) for _ in range(5)], page(after=0), send(f"FYI {NOTE}", after=0)],
+    }
+    return rows(steps)
+
+
+def test_stream_equals_batch_from_raw_events_of_both_planes(spark, tmp_path):
+    raw = spark.createDataFrame(rows() + more_rows(), COLUMNS)
+    dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)
+    log = cut(detect.prepare(enrich.resolve_tags(enrich.first_event(raw), *dims), PLAIN))
+    want = decided(detect.decide(log, PLAIN).withColumn("where_found", F.col("where_found")))
+    tools = source(spark, raw.where("plane = 'tool'"), str(tmp_path / "tools"))
+    calls = source(spark, raw.where("plane <> 'tool'"), str(tmp_path / "calls"))
+    got = decided(drain(detect_raw_stream(tools, calls, *dims, PLAIN, "1 day"), "decisions", tmp_path))
+    assert got == want
+    verdicts = {(r[0], r[2]) for r in got}
+    assert {("three_layers", "EXFIL"), ("gzip", "EXFIL"), ("split_in_args", "EXFIL"), ("split_over_results", "EXFIL"), ("many_chunks", "EXFIL"), ("bound_text", "SUSPICIOUS"), ("sensor_file", "EXFIL")} <= verdicts
+    assert ("evicted_chunk", "EXFIL") not in verdicts and ("xor", "EXFIL") not in verdicts
+
+
+def test_repeated_deliveries_change_nothing(spark, tmp_path):
+    raw = spark.createDataFrame([r for r in rows() if r[0] in ("literal", "decayed_by_count", "split_over_results")], COLUMNS)
+    dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)
+    log = cut(detect.prepare(enrich.resolve_tags(enrich.first_event(raw), *dims), PLAIN))
+    twice = source(spark, raw.union(raw), str(tmp_path / "in"))
+    got = drain(detect_stream(detect.prepare(enrich.resolve_tags(twice, *dims), PLAIN), PLAIN, "1 day"), "twice", tmp_path)
+    assert decided(got) == decided(detect.decide(log, PLAIN)) and got.where("session_id <> '~last'").count() == len(decided(got))
+
+
+def test_state_ends_with_the_session(spark, tmp_path):
+    """After the idle time a session begins anew: what it had read before is forgotten, and numbers start again."""
+    raw = spark.createDataFrame(rows({"again": [read(), send(SECRET), send(SECRET, after=3 * 3600)]}), COLUMNS)
+    dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)
+    late = spark.createDataFrame(rows({"clock": [send("x", after=2 * 3600 + 1800)]}), COLUMNS)
+    folder = str(tmp_path / "in")
+    for df in (raw.where("ingest_seq < 3"), late, late.limit(0), raw.where("ingest_seq = 3")):
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = source(spark, late.withColumn("session_id", F.lit("other")), folder, files=1)
+    got = drain(detect_stream(detect.prepare(enrich.resolve_tags(stream, *dims), PLAIN), PLAIN, "1 minute"), "ended", tmp_path)
+    assert [(r["n"], r["verdict"]) for r in got.where("session_id = 'again'").orderBy("ts").collect()] == [(2, "EXFIL"), (1, None)]
+
+
+def test_numbered_stream_equals_batch(spark, tmp_path):
+    raw = spark.createDataFrame(rows() + more_rows(), COLUMNS)
+    tools = source(spark, raw.where("plane = 'tool'"), str(tmp_path / "tools"))
+    calls = source(spark, raw.where("plane <> 'tool'"), str(tmp_path / "calls"))
+    got = drain(fuse_stream(tools, calls, 7200, "1 day"), "numbered", tmp_path).where("session_id <> '~last'")
+    want = enrich.fuse(raw.where("plane = 'tool'"), raw.where("plane <> 'tool'"))
+    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_correlated_stream_equals_batch(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    data = [
+        ("n1", 1, START, at(0), 1, "connect", "10.0.0.1", 80), ("n1", 1, START, at(5), 2, "write", None, None), ("n1", 1, START, at(5.001), 3, "write", None, None),
+        ("n1", 1, at(60), at(61), 4, "write", None, None), ("n1", 2, START, at(1), 5, "write", None, None), ("n1", 2, START, at(1), 6, "sendto", "10.0.0.2", 53),
+        ("n1", 2, START, at(3), 7, "connect", "10.0.0.3", 443), ("n1", 2, START, at(4), 8, "write", "9.9.9.9", 1), ("n2", 2, START, at(4), 9, "write", None, None),
+        ("n2", 2, START, at(9), 10, "openat", None, None), (None, 2, START, at(9), 11, "openat", None, None),
+    ]
+    df = spark.createDataFrame(data, "node string, pid int, start_ts timestamp, ts timestamp, ingest_seq long, syscall string, dest_ip string, dest_port int")
+    want = {tuple(r) for r in enrich.correlate_writes(df).select(df.columns).collect()}
+    got = drain(correlate_stream(source(spark, df, str(tmp_path / "in"), 4), lateness="1 hour"), "correlated", tmp_path)
+    assert {tuple(r) for r in got.where("ts < '2030-01-01'").select(df.columns).collect()} == want and any(r[6] == "10.0.0.2" and r[5] == "write" for r in want)
+
+
+def test_streamed_secrets_reach_the_sensors(spark, tmp_path):
+    raw = spark.createDataFrame(rows({"k8s:pod-1": [read(PARTS[0]), read(PARTS[1]), read(f"token: {SECRET}")], "local": [read()]}), COLUMNS)
+    dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)
+    stream = source(spark, raw, str(tmp_path / "in"))
+    told = str(tmp_path / "told")
+
+    def send_(pod, message):
+        with open(f"{told}-{pod}", "a") as f:
+            f.write(message + "\n")
+        return 200
+
+    q = secrets_stream(detect.prepare(enrich.resolve_tags(stream, *dims), PLAIN), PLAIN, "1 day").writeStream.foreachBatch(taint_sink(send_, str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {(r["session_id"], r["n"], r["verdict"]) for r in spark.table("decisions").where("verdict is not null").collect()}
-    assert got == want and got
+    feed, bad = readers.split_feed(spark.read.text(f"{told}-pod-1"))
+    assert [(r["session_id"], r["value"], r["seq"]) for r in readers.feed_taint(feed).collect()] == [("k8s:pod-1", SECRET, 2)] and bad.isEmpty()
 
 
 def test_session_ends_and_late_rows(spark, tmp_path):

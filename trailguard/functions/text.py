@@ -26,7 +26,8 @@ def as_bytes(c: ColumnOrName) -> Column:
 
 
 def from_bytes(c: ColumnOrName) -> Column:
-    return F.decode(F.encode(col(c), "ISO-8859-1"), "UTF-8")
+    """Back to text; bytes that a cut left without the rest of their character stay as they are."""
+    return F.encode(col(c), "ISO-8859-1").cast("string")
 
 
 def sha256(c: ColumnOrName) -> Column:

@@ -174,7 +174,7 @@ def file_contents(opens: DataFrame, contents: DataFrame, most: int = 65536) -> D
     """Open calls with the content captured for them (node, pid, path, ts), cut to `most` bytes."""
     c = contents.select("node", "pid", "path", "ts", F.col("contents").alias("_c"))
     cut = F.substring(F.encode("_c", "UTF-8"), 1, most)
-    return opens.join(c, ["node", "pid", "path", "ts"], "left").withColumn("file_contents", F.coalesce(F.decode(cut, "UTF-8"), F.col("file_contents"))).drop("_c")
+    return opens.join(c, ["node", "pid", "path", "ts"], "left").withColumn("file_contents", F.coalesce(cut.cast("string"), F.col("file_contents"))).drop("_c")
 
 
 def first_event(log: DataFrame) -> DataFrame:

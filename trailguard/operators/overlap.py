@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEPTH, LEAST_BYTES, MOST_BYTES, SINGLE, as_bytes, decode_layers, grams, inflated, json_leaves, plausible
@@ -44,17 +44,27 @@ def reassembled(sinks: DataFrame) -> DataFrame:
     return sinks.withColumn("_joined", joined).where((F.col("_joined") != "") & (F.col("_joined") != F.col("text"))).select("session_id", "n", F.col("_joined").alias("text"))
 
 
+def with_reassembled(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """The same as a column; null for payloads, and where it is the text itself or empty."""
+    rows = rows.withColumn("_joined", F.array_join(json_leaves(text), ""))
+    other = (F.col("_joined") != "") & (F.col("_joined") != F.col(text)) & ~F.col("payload")
+    return rows.withColumn(name, F.when(other, F.col("_joined"))).drop("_joined")
+
+
 def reassembled_hits(sinks: DataFrame, forms: DataFrame, plan: str = "anchor") -> DataFrame:
     rows = reassembled(sinks).withColumns({"pos": F.lit(0), "path": F.lit("")})
     return _first(_matches(rows, forms, plan).withColumns({"stage": F.lit(2), "match_form": F.col("form")}))
 
 
+def _candidates(leaves: str, text: str) -> Column:
+    whole = F.array(text)
+    return F.when(F.col("payload"), F.concat(whole, F.col(leaves))).when(F.size(leaves) > 0, F.col(leaves)).otherwise(whole)
+
+
 def candidates(sinks: DataFrame) -> DataFrame:
     """What decoding is tried on: string leaves; for a payload the whole before them; the whole if there are none."""
-    leaves = json_leaves("text")
-    rows = sinks.withColumn("_leaves", leaves)
-    all_ = F.when(F.col("payload"), F.concat(F.array("text"), F.col("_leaves"))).when(F.size("_leaves") > 0, F.col("_leaves")).otherwise(F.array("text"))
-    return rows.select("session_id", "n", F.posexplode(all_).alias("pos", "c")).where(F.octet_length("c").between(LEAST_BYTES, MOST_BYTES)).withColumn("c", as_bytes("c"))
+    rows = sinks.withColumn("_leaves", json_leaves("text"))
+    return rows.select("session_id", "n", F.posexplode(_candidates("_leaves", "text")).alias("pos", "c")).where(F.octet_length("c").between(LEAST_BYTES, MOST_BYTES)).withColumn("c", as_bytes("c"))
 
 
 def layers(cands: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -70,6 +80,21 @@ def layers(cands: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
+def with_layers(rows: DataFrame, text: str, name: str, depth: int = DEPTH) -> DataFrame:
+    """candidates and layers as one column: an array of (pos, path, match_form, c), for rows that can't be exploded."""
+    rows = rows.withColumn("_leaves", json_leaves(text))
+    at = F.transform(_candidates("_leaves", text), lambda c, i: F.struct(i.alias("pos"), F.lit("").alias("path"), F.lit("decoded").alias("match_form"), as_bytes(c).alias("c")))
+    rows = rows.withColumn("_level", F.when(F.col(text).isNotNull(), F.filter(at, lambda x: F.length(x["c"]).between(LEAST_BYTES, MOST_BYTES)))).withColumn(name, F.slice("_level", 1, 0))
+
+    def deeper(x: Column) -> Column:
+        return F.transform(decode_layers(x["c"]), lambda d: F.struct(x["pos"].alias("pos"), F.concat(x["path"], F.substring(d["step"], 1, 1)).alias("path"), F.concat_ws("_", x["match_form"], d["step"]).alias("match_form"), d["decoded"].alias("c")))
+
+    for _ in range(depth):
+        rows = rows.withColumn("_step", F.flatten(F.transform("_level", deeper)))
+        rows = rows.withColumns({name: F.concat(name, "_step"), "_level": F.filter("_step", lambda x: plausible(x["c"]))})
+    return rows.drop("_leaves", "_level", "_step")
+
+
 def decoded_hits(sinks: DataFrame, forms: DataFrame, plan: str = "anchor") -> DataFrame:
     """First secret behind layers of encoding; only plain and single-layer forms are looked for there."""
     rows = layers(candidates(sinks)).withColumnRenamed("c", "text")
