@@ -9,13 +9,17 @@ from trailguard.sources import readers, writers
 
 def test_logs_frames_and_feed(spark, tmp_path):
     log = tmp_path / "log.jsonl"
-    log.write_text('{"session_id":"a","seq":1,"tool_args":{"x": [1, 2]}}\n{"kind":"unattributed_syscall","reason":"r"}\n')
-    events, audit = readers.event_log(spark, str(log))
+    log.write_text('{"session_id":"a","seq":1,"tool_args":{"x": [1, 2]}}\n{"kind":"unattributed_syscall","reason":"r"}\nnot json at all\n\n[1]\n{"session_id":"b","seq":"one"}\n{"other":1}\n')
+    events, audit, rejects = readers.event_log(spark, str(log))
+    assert sorted(r["reason"] for r in rejects.collect()) == ["a field has another type", "no field of an event", "not JSON", "not a JSON object"]
+    readers.quarantine(rejects, str(tmp_path / "rejects"))
+    assert {r["head"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()} == {"not json at all", "[1]", '{"session_id":"b","seq":"one"}', '{"other":1}'}
     assert events.count() == 1 and audit.first()["reason"] == "r" and json.loads(events.first()["tool_args"]) == {"x": [1, 2]}
     raw = tmp_path / "frames"
-    raw.write_text('{"id":1,"method":"m"}\r\n\n   \n' + "x" * (1 << 20) + "y\n")
+    raw.write_text('{"id":1,"method":"m"}\r\n\n   \n' + "x" * (1 << 20) + 'y\ngarbage {\n"text"\n')
     good, bad = readers.frames(spark, str(raw))
-    assert [r[0] for r in good.collect()] == ['{"id":1,"method":"m"}'] and bad.count() == 1
+    assert [r[0] for r in good.collect()] == ['{"id":1,"method":"m"}']
+    assert sorted(r["reason"] for r in bad.collect()) == ["frame exceeds 1 MiB", "not JSON", "not a JSON object"]
     feed = tmp_path / "feed"
     ok = {"op": "register_taint", "pod_uid": " u1 ", "value": "acct_12345678", "hash": "h", "source": "s"}
     feed.write_text("\n".join(json.dumps(x) for x in (ok, ok | {"op": "x"}, ok | {"pod_uid": " "}, ok | {"value": ""}, ok | {"hash": ""}, ok | {"value": "v" * 70000})) + "\nnot json\n")
@@ -86,6 +90,42 @@ def test_attribution(spark):
     assert known.count() == 1 and audit.count() == 2
 
 
+def test_malformed_lines_of_streams_are_quarantined(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"session_id":"a","seq":1}\nnot json at all\n')
+    for k, (df, want) in enumerate(zip(readers.event_log(spark, str(tmp_path / "in"), streaming=True), (1, 0, 1), strict=True)):
+        q = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start(str(tmp_path / f"out{k}"))
+        q.awaitTermination(60)
+        assert spark.read.schema(df.schema).parquet(str(tmp_path / f"out{k}")).count() == want
+
+
+def test_of_intervals_that_hold_a_call_the_last_to_start_owns_it(spark):
+    import random
+
+    day = lambda d: f"timestamp'2024-01-01 00:00:00' + make_dt_interval({d})"
+    registry = spark.sql(f"select * from values ('n', 1, {day(0)}, {day(100)}, 'A', 'v'), ('n', 1, {day(1)}, {day(2)}, 'B', 'v'), ('n', null, {day(0)}, null, 'victim', 'v'), (null, 1, {day(0)}, null, 'victim', 'v') as t(node, pid, start_ts, end_ts, session_id, server_id)")
+    calls = spark.sql(f"select * from values ('n', 1, {day(0)}, 1), ('n', 1, {day(1)}, 2), ('n', 1, {day(2)}, 3), ('n', 1, {day(50)}, 4), ('n', 1, {day(100)}, 5), ('n', null, {day(1)}, 6), (null, 1, {day(1)}, 7) as t(node, pid, ts, id)")
+    got = {r["id"]: r["session_id"] for r in enrich.attribute_processes(calls, registry).collect()}
+    assert got == {1: "A", 2: "B", 3: "A", 4: "A", 5: None, 6: None, 7: None}
+    rng = random.Random(3)
+    spans = [(rng.choice("xy"), rng.randrange(2), s := rng.randrange(500), rng.choice([None, s + rng.randrange(300)]), f"s{i}") for i in range(200)]
+    at = [(rng.choice("xy"), rng.randrange(2), rng.randrange(800), i) for i in range(500)]
+    df = spark.createDataFrame(spans, "node string, pid int, s long, e long, session_id string").selectExpr("node", "pid", "timestamp_seconds(s * 3600) start_ts", "timestamp_seconds(e * 3600) end_ts", "session_id", "'v' server_id")
+    calls = spark.createDataFrame(at, "node string, pid int, t long, id long").selectExpr("node", "pid", "timestamp_seconds(t * 3600) ts", "id")
+    got = {r["id"]: r["session_id"] for r in enrich.attribute_processes(calls, df, slice_s=36_000).collect()}
+    top = lambda e: 1 << 40 if e is None else e
+    want = {i: max(((s, top(e), name) for n, p, s, e, name in spans if (n, p) == (node, pid) and s <= t < top(e)), default=(0, 0, None))[2] for node, pid, t, i in at}
+    assert got == want and len(set(got.values())) > 50
+
+
+def test_nothing_answers_a_notification(spark):
+    ts = "timestamp'2024-01-01 00:00:0{}'"
+    asked = spark.sql(f"select * from values ('s', null, {ts.format(1)}, 'note'), ('s', 'a', {ts.format(1)}, 'tool'), (null, 'a', {ts.format(1)}, 'tool') as t(session_id, rpc_id, ts, tool_name)")
+    answers = spark.sql(f"select * from values ('s', cast(null as string), {ts.format(2)}, 'parse error'), (null, 'a', {ts.format(2)}, 'other') as t(session_id, rpc_id, ts, result)")
+    got = {(r["session_id"], r["rpc_id"]): (r["result"], r["timed_out"]) for r in enrich.pair_responses(asked, answers).collect()}
+    assert got == {("s", None): (None, False), ("s", "a"): (None, True), (None, "a"): (None, False)}
+
+
 def test_filters(spark):
     calls = spark.createDataFrame([("sendto", "::ffff:10.0.0.1", 53, None, b"x" * 2000), ("connect", "10.0.0.2", 80, None, None), ("openat", None, None, "/secretsX", None), ("openat", None, None, "/home", None)], "syscall string, dest_ip string, dest_port int, path string, payload_excerpt binary")
     out = enrich.prepare_syscalls(calls, ["/secrets", ""], 512)

@@ -120,6 +120,22 @@ def test_correlated_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in got.where("ts < '2030-01-01'").select(df.columns).collect()} == want and any(r[6] == "10.0.0.2" and r[5] == "write" for r in want)
 
 
+def test_paired_streams_equal_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    asked = [("s" + str(rng.randrange(3)), str(rng.randrange(3)), START + timedelta(seconds=rng.randrange(600) + i / 1000), f"tool{i}") for i in range(120)]
+    answers = [("s" + str(rng.randrange(3)), str(rng.randrange(3)), START + timedelta(seconds=rng.randrange(600)), f"r{i}") for i in range(60)]
+    answers += [("s0", None, START, "parse error"), ("s0", "1", asked[0][2] + timedelta(hours=5), "late")]
+    q = spark.createDataFrame([*asked, ("s0", "9", START, "edge")], "session_id string, rpc_id string, ts timestamp, tool_name string")
+    r = spark.createDataFrame([*answers, ("s0", "9", START + timedelta(seconds=30), "in time")], "session_id string, rpc_id string, ts timestamp, result string")
+    columns = ["session_id", "rpc_id", "tool_name", "ts_response", "result", "timed_out"]
+    want = {tuple(x) for x in enrich.pair_responses(q, r).select(columns).collect()}
+    out = enrich.pair_responses_stream(source(spark, q, str(tmp_path / "q")), source(spark, r, str(tmp_path / "r")), lateness="1 day")
+    got = [tuple(x) for x in drain(out, "pairs", tmp_path).where("session_id <> '~last'").select(columns).collect()]
+    assert set(got) == want and len(got) == len(want) and {x[5] for x in got} == {True, False}
+
+
 def test_streamed_secrets_reach_the_sensors(spark, tmp_path):
     raw = spark.createDataFrame(rows({"k8s:pod-1": [read(PARTS[0]), read(PARTS[1]), read(f"token: {SECRET}")], "local": [read()]}), COLUMNS)
     dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)

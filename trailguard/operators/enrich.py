@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.render import bare_container_id, container_id, normal_ip, pod_session
 
@@ -62,19 +68,58 @@ def correlate_writes(syscalls: DataFrame, ttl_s: float = CONNECT_TTL_S, keys: tu
     return rows.withColumns({c: F.when(write, F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("dest_ip", "dest_port")}).drop("_c")
 
 
-def attribute_processes(syscalls: DataFrame, registry: DataFrame) -> DataFrame:
-    """session_id and server_id of the process that had the pid at the time: of intervals that hold it, the latest."""
-    r = registry.select(F.col("node").alias("_node"), F.col("pid").alias("_p"), F.col("start_ts").alias("_start"), F.col("end_ts").alias("_end"), F.col("session_id").alias("_session"), F.col("server_id").alias("_server"))
-    # union and a window instead of a range join: one sort, however many processes had the pid
-    starts = r.select(F.col("_node").alias("node"), F.col("_p").alias("pid"), F.col("_start").alias("_at"), F.lit(0).alias("_kind"), F.struct("_start", "_end", "_session", "_server").alias("_owner"))
-    calls = syscalls.select("node", "pid", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(*syscalls.columns).alias("_call"))
-    order = Window.partitionBy("node", "pid").orderBy("_at", "_kind")
-    both = starts.unionByName(calls, allowMissingColumns=True).withColumn("_o", F.last("_owner", ignorenulls=True).over(order)).where("_kind = 1")
-    inside = F.coalesce(F.col("_o._end"), F.lit("9999-12-31").cast("timestamp")) > F.col("_at")
-    owner = lambda c: F.when(inside, F.col(f"_o.{c}"))
+def attribute_processes(syscalls: DataFrame, registry: DataFrame, slice_s: int = 86_400) -> DataFrame:
+    """session_id and server_id of the process that had the pid at the time: of intervals (start_ts, end_ts; the end is
+    outside, null: still open) that hold it, the one that started last. A null node, pid or time matches nothing.
+
+    Not a range join: starts and calls of a process are sorted by time and swept, with the open intervals in a heap. Time is
+    cut into slices and an interval stands in each that it covers, so a process of many calls is many tasks' work."""
+    known = syscalls.where("node is not null and pid is not null and ts is not null")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slice_us = slice_s * 1_000_000
+    of = lambda t: F.floor(t / slice_us).cast("long")
+    calls = known.select("node", "pid", of(us("ts")).alias("_slice"), us("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(*[F.col(f"`{c}`") for c in syscalls.columns]).alias("_call"))
+    last = calls.agg(F.max("_at")).scalar()  # no interval is open for longer than there are calls
+    r = registry.where("node is not null and pid is not null and start_ts is not null and (end_ts is null or end_ts > start_ts)")
+    r = r.select("node", "pid", us("start_ts").alias("_from"), us("end_ts").alias("_to"), F.col("session_id").cast("string").alias("_session"), F.col("server_id").cast("string").alias("_server")).withColumn("_last", last).where("_from <= _last")
+    until = F.least(F.col("_last"), F.coalesce(F.col("_to") - 1, F.col("_last")))
+    r = r.withColumn("_slice", F.explode(F.sequence(of(F.col("_from")), of(until))))
+    starts = r.select("node", "pid", "_slice", F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_from", "_to", "_session", "_server")
+    both = starts.unionByName(calls, allowMissingColumns=True).repartition("node", "pid", "_slice").sortWithinPartitions("node", "pid", "_slice", "_at", "_kind")
+    kept = [F.col(f"_call.`{c}`") for c in syscalls.columns if c not in ("session_id", "server_id")]
+    schema = T.StructType([T.StructField("_call", syscalls.schema), *T.StructType.fromDDL("_session string, _server string").fields])
+    found = both.select("node", "pid", "_slice", "_at", "_from", "_to", "_session", "_server", "_call", "_kind").mapInArrow(_owners, schema)
+    unknown = syscalls.where("node is null or pid is null or ts is null").select(F.struct(*[F.col(f"`{c}`") for c in syscalls.columns]).alias("_call"), F.lit(None).cast("string").alias("_session"), F.lit(None).cast("string").alias("_server"))
     own = F.col("_call.session_id") if "session_id" in syscalls.columns else F.lit(None).cast("string")
-    kept = [F.col(f"_call.{c}") for c in syscalls.columns if c not in ("session_id", "server_id")]
-    return both.select(*kept, F.coalesce(F.nullif(own, F.lit("")), owner("_session")).alias("session_id"), owner("_server").alias("server_id"))
+    return found.unionByName(unknown).select(*kept, F.coalesce(F.nullif(own, F.lit("")), F.col("_session")).alias("session_id"), F.col("_server").alias("server_id"))
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweeps starts and calls sorted by process, slice and time; a heap holds the open intervals, last start first."""
+    process, heap = None, []
+    for b in batches:
+        sessions, servers = [], []
+        for node, pid, part, at, start, end, session, server, kind in zip(*(b.column(c).to_pylist() for c in ("node", "pid", "_slice", "_at", "_from", "_to", "_session", "_server", "_kind")), strict=True):
+            if (node, pid, part) != process:
+                process, heap = (node, pid, part), []
+            if kind == 0:  # of equal starts the later end, then the larger session, goes first
+                heapq.heappush(heap, (-start, -(1 << 63) if end is None else -end, _Last(session or ""), session, server or ""))
+                continue
+            while heap and -heap[0][1] <= at:
+                heapq.heappop(heap)
+            sessions.append(heap[0][3] if heap else None)
+            servers.append(heap[0][4] or None if heap else None)
+        calls = b.column("_call").filter(pc.equal(b.column("_kind"), 1))
+        yield pa.RecordBatch.from_arrays([calls, pa.array(sessions, pa.string()), pa.array(servers, pa.string())], ["_call", "_session", "_server"])
+
+
+class _Last(str):
+    """A text whose order is turned round, for a heap that gives the least first."""
+
+    __slots__ = ()
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
 
 
 def attribute_pods(syscalls: DataFrame, cgroups: DataFrame, pids: DataFrame) -> DataFrame:
@@ -127,16 +172,33 @@ def split_attributed(syscalls: DataFrame, reason: str = "no session attribution
 
 def pair_responses(requests: DataFrame, responses: DataFrame, timeout_s: int = RPC_TIMEOUT_S) -> DataFrame:
     """Requests (session_id, rpc_id, ts, tool_name) with the first response within the timeout; ts_response is null and
-    timed_out true without one."""
+    timed_out true without one. A request without an id (or session) is a notification: nothing answers it, nor does it
+    time out; a response without one, such as of a parse error, answers nothing."""
     keys = ["session_id", "rpc_id"]
+    there, none = " and ".join(f"{k} is not null" for k in keys), " or ".join(f"{k} is null" for k in keys)
     # union and a window instead of a join: clients use the same few ids again and again
-    r = responses.select(*keys, F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(F.col("ts").alias("ts_response"), F.col("result").alias("result")).alias("_r"))
-    q = requests.select(*keys, F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(*requests.columns).alias("_q"))
+    r = responses.where(there).select(*keys, F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(F.col("ts").alias("ts_response"), F.col("result").alias("result")).alias("_r"))
+    q = requests.where(there).select(*keys, F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(*requests.columns).alias("_q"))
     # backwards in time the last response seen is the next one; of equal times the least
     order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_r"))
     rows = r.unionByName(q, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_kind = 0")
     near = F.coalesce(F.col("_r.ts_response") <= F.col("_at") + F.make_interval(secs=F.lit(timeout_s)), F.lit(False))
-    return rows.select("_q.*", F.when(near, F.col("_r.ts_response")).alias("ts_response"), F.when(near, F.col("_r.result")).alias("result"), (~near).alias("timed_out"))
+    paired = rows.select("_q.*", F.when(near, F.col("_r.ts_response")).alias("ts_response"), F.when(near, F.col("_r.result")).alias("result"), (~near).alias("timed_out"))
+    kinds = dict(responses.dtypes)
+    return paired.unionByName(requests.where(none).withColumns({"ts_response": F.lit(None).cast(kinds["ts"]), "result": F.lit(None).cast(kinds["result"]), "timed_out": F.lit(False)}))
+
+
+def pair_responses_stream(requests: DataFrame, responses: DataFrame, timeout_s: int = RPC_TIMEOUT_S, lateness: str = "10 minutes") -> DataFrame:
+    """The same of two streams, by an interval join with a watermark on either side: a request comes out when no response
+    within its timeout can come any more, timeouts are the join's null side. Requests without an id don't come out; requests
+    alike in all columns come out once."""
+    q = requests.where("session_id is not null and rpc_id is not null").withWatermark("ts", lateness)
+    r = responses.where("session_id is not null and rpc_id is not null").select(F.col("session_id").alias("_s"), F.col("rpc_id").alias("_i"), F.col("ts").alias("_ts"), F.col("result").alias("_result")).withWatermark("_ts", lateness)
+    within = (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {timeout_s} seconds"))
+    both = q.join(r, (F.col("session_id") == F.col("_s")) & (F.col("rpc_id") == F.col("_i")) & within, "leftOuter")
+    answer = F.when(F.col("_ts").isNotNull(), F.struct(F.col("_ts").cast("timestamp").alias("ts_response"), F.col("_result").alias("result")))
+    one = both.select(*requests.columns, answer.alias("_r")).groupBy(*requests.columns).agg(F.min("_r").alias("_r"))
+    return one.select(*requests.columns, "_r.ts_response", "_r.result", F.col("_r").isNull().alias("timed_out"))
 
 
 def route_tools(registrations: DataFrame) -> DataFrame:

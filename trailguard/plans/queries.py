@@ -298,16 +298,19 @@ def write_connect_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "node", "pid", "dest_ip", F.col("dest_port").alias("connect_id"))
 
 
-_REGISTRY = "SELECT 'node' || cast(user_id % 3 AS string) AS node, cast(user_id % 20 AS integer) AS pid, ts AS start_ts, ts + INTERVAL '12' HOUR AS end_ts, 's' || cast(event_id AS string) AS session_id, 'srv' || cast(event_id % 4 AS string) AS server_id FROM events WHERE event_type = 'signup'"
+_REGISTRY = "SELECT 'node' || cast(user_id % 3 AS string) AS node, cast(user_id % 20 AS integer) AS pid, ts AS start_ts, CASE event_id % 5 WHEN 0 THEN ts + INTERVAL '240' HOUR WHEN 1 THEN ts + INTERVAL '1' HOUR WHEN 2 THEN ts + INTERVAL '30' HOUR WHEN 3 THEN ts + INTERVAL '12' HOUR END AS end_ts, 's' || cast(event_id AS string) AS session_id, 'srv' || cast(event_id % 4 AS string) AS server_id FROM events WHERE event_type = 'signup'"
 
 
-@query(f", r AS ({_REGISTRY}) SELECT c.event_id, CASE WHEN c.ts < r.end_ts THEN r.session_id END AS session_id, CASE WHEN c.ts < r.end_ts THEN r.server_id END AS server_id FROM calls c ASOF LEFT JOIN r ON c.node = r.node AND c.pid = r.pid AND c.ts >= r.start_ts", "calls")
+_OWNED = f"SELECT c.event_id, max_by(r.session_id, r.start_ts) AS session_id, max_by(r.server_id, r.start_ts) AS server_id FROM calls c LEFT JOIN ({_REGISTRY}) r ON c.node = r.node AND c.pid = r.pid AND c.ts >= r.start_ts AND (r.end_ts IS NULL OR c.ts < r.end_ts) GROUP BY c.event_id"
+
+
+@query(f" {_OWNED}", "calls")
 def pid_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.sql(_REGISTRY.replace("FROM events", "FROM {events}"), events=events(spark, sf_dir))
     return enrich.attribute_processes(_calls(spark, sf_dir), registry).select("event_id", "session_id", "server_id")
 
 
-@query("SELECT 'unattributed_syscall' AS kind, count(*) AS records FROM (SELECT c.event_id, CASE WHEN c.ts < r.end_ts THEN r.session_id END AS s FROM calls c ASOF LEFT JOIN (" + _REGISTRY + ") r ON c.node = r.node AND c.pid = r.pid AND c.ts >= r.start_ts) WHERE s IS NULL", "calls")
+@query(f" SELECT 'unattributed_syscall' AS kind, count(*) AS records FROM ({_OWNED}) WHERE session_id IS NULL", "calls")
 def unattributed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.sql(_REGISTRY.replace("FROM events", "FROM {events}"), events=events(spark, sf_dir))
     _, audit = enrich.split_attributed(enrich.attribute_processes(_calls(spark, sf_dir), registry))
@@ -390,9 +393,9 @@ def frame_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.project_frames(rows).select("session_id", "seq", "frame_class", "tool_name", "rpc_id")
 
 
-@query("WITH q AS (SELECT user_id AS s, event_id, event_id % 4 AS rpc, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id AS s, event_id % 4 AS rpc, ts FROM events WHERE event_type = 'view') SELECT q.event_id, min(r.ts) AS ts_response, min(r.ts) IS NULL AS timed_out FROM q LEFT JOIN r ON q.s = r.s AND q.rpc = r.rpc AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 12 HOUR GROUP BY q.event_id")
+@query("WITH q AS (SELECT user_id AS s, event_id, nullif(event_id % 5, 4) AS rpc, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id AS s, nullif(event_id % 5, 4) AS rpc, ts FROM events WHERE event_type = 'view') SELECT q.event_id, min(r.ts) AS ts_response, min(r.ts) IS NULL AND any_value(q.rpc) IS NOT NULL AS timed_out FROM q LEFT JOIN r ON q.s = r.s AND q.rpc = r.rpc AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 12 HOUR GROUP BY q.event_id")
 def request_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select(F.col("user_id").alias("session_id"), (F.col("event_id") % 4).alias("rpc_id"), "event_id", "ts", "event_type", F.lit(None).cast("string").alias("result"))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.nullif(F.col("event_id") % 5, F.lit(4)).alias("rpc_id"), "event_id", "ts", "event_type", F.lit(None).cast("string").alias("result"))
     pairs = enrich.pair_responses(e.where("event_type = 'purchase'").drop("result"), e.where("event_type = 'view'"), 12 * 3600)
     return pairs.select("event_id", "ts_response", "timed_out")
 

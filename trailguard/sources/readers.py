@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.render import pod_session
@@ -12,20 +13,54 @@ from ..functions.text import encoded_forms, mask, sha256
 FRAME_BYTES, FEED_BYTES = 1 << 20, 64 << 10
 
 
-def event_log(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Events and audit records of a JSON-lines log. tool_args and result stay JSON text. The log is written after
-    redaction: it serves forensics and metrics, not detection."""
-    reader = (spark.readStream if streaming else spark.read).schema(schemas.EVENT_OR_AUDIT)
-    rows = reader.json(path)
-    events = rows.where("kind is null").drop("kind", "reason", "syscall")
-    return events, rows.where("kind is not null").select("kind", "reason", "ts_wall", "syscall")
+def _lines(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    return lines.select(F.regexp_replace("value", "\r$", "").alias("line")).where(F.trim("line") != "")
 
 
-def frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines that hold a frame, without a closing CR; blank lines are skipped, oversized ones quarantined."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).where(F.trim("line") != "")
-    fits = F.octet_length("line") <= FRAME_BYTES
-    return lines.where(fits), lines.where(~fits).select(F.substring("line", 1, 256).alias("head"), F.lit("frame exceeds 1 MiB").alias("reason"))
+def _malformed(line: str) -> Column:
+    """Why a line isn't a JSON object; null if it is one."""
+    v = F.try_parse_json(line)
+    return F.when(v.isNull(), "not JSON").when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "not a JSON object")
+
+
+def _rejected(lines: DataFrame) -> DataFrame:
+    return lines.where("reason is not null").select(F.substring("line", 1, 256).alias("head"), "reason")
+
+
+def split_log(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, audit records and rejects (head, reason) of log lines (line). Rejected are lines that are no JSON object, or
+    in which a field has a value of another type than the schema's, or that have no field of an event or audit record."""
+    schema = f"{schemas.EVENT_OR_AUDIT}, _corrupt string"
+    rows = lines.withColumn("e", F.from_json("line", schema, {"columnNameOfCorruptRecord": "_corrupt", "maxStringLen": str(2**31 - 1)}))
+    names = [f.name for f in T.StructType.fromDDL(schemas.EVENT_OR_AUDIT).fields]
+    none = F.coalesce(*[F.when(F.col(f"e.{c}").isNotNull(), 1) for c in names]).isNull()
+    reason = F.coalesce(_malformed("line"), F.when(F.col("e._corrupt").isNotNull(), "a field has another type"), F.when(none, "no field of an event"))
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").select(*[F.col(f"e.{c}") for c in names])
+    return good.where("kind is null").drop("kind", "reason", "syscall"), good.where("kind is not null").select("kind", "reason", "ts_wall", "syscall"), _rejected(rows)
+
+
+def event_log(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, audit records and rejected lines of a JSON-lines log. tool_args and result stay JSON text. The log is written
+    after redaction: it serves forensics and metrics, not detection."""
+    return split_log(_lines(spark, path, streaming))
+
+
+def split_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (line, any others) that hold a frame, and rejects: oversized lines, and what is no JSON object."""
+    rows = lines.withColumn("reason", F.when(F.octet_length("line") > FRAME_BYTES, "frame exceeds 1 MiB").otherwise(_malformed("line")))
+    return rows.where("reason is null").drop("reason"), _rejected(rows)
+
+
+def frames(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines that hold a frame, without a closing CR, and rejects; blank lines are skipped."""
+    return split_frames(_lines(spark, path, streaming))
+
+
+def quarantine(rejects: DataFrame, path: str) -> None:
+    """Append rejects to a table beside what was read. Heads of lines may hold secrets: its readers are those of raw input."""
+    rejects.write.mode("append").parquet(path)
 
 
 def frame_class(method: Column, rpc_id: Column) -> Column:
