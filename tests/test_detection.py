@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailguard.config import server_tags, tool_tags
 from trailguard.functions.text import grams
-from trailguard.operators import bind, detect, enrich, overlap, scenarios, taint
+from trailguard.operators import bind, detect, enrich, overlap, rollups, scenarios, taint
 from trailguard.plans.agent_log import SETTINGS
 from trailguard.schemas import EVIDENCE
 from trailguard.sources import writers
@@ -94,6 +94,38 @@ def test_both_overlap_plans_are_equal_and_bind_equals_brute_force(spark):
     assert sinks.select(grams("text", 8).alias("g")).where(F.size("g") > 0).count() > 0
 
 
+def test_texts_that_share_a_run_keep_a_gram_of_it():
+    import random
+
+    from trailguard.functions.winnow import kept
+
+    r, rows_, all_ = random.Random(9), 0, 0
+    for _ in range(300):
+        least = r.choice([1, 2, 5, 12, 16, 24])
+        run = bytes(r.choice(b"ab\xff") for _ in range(least))
+        a, b = (bytes(r.choice(b"ab") for _ in range(r.randrange(60))) + run + bytes(r.choice(b"ab") for _ in range(r.randrange(60))) for _ in range(2))
+        assert set(kept(a, least)[1].tolist()) & set(kept(b, least)[1].tolist())
+    text = r.randbytes(20_000)
+    rows_, all_ = len(kept(text, 16)[0]), len(text) - 15
+    assert rows_ < 0.25 * all_ and not len(kept(b"short", 16)[0])
+
+
+def test_sketches_of_days_merge_to_those_of_a_month(spark, tmp_path):
+    day = 86_400_000_000_000
+    e = spark.range(30_000).select((F.col("id") % 5000).cast("string").alias("session_id"), (F.col("id") % 28 * day + F.col("id") * 1_000_000).alias("trip_ts_ns"), F.when(F.col("id") % 3 == 0, "EXFIL").otherwise("SUSPICIOUS").alias("verdict"), F.struct(F.lit(None).cast("string").alias("dest_ip"), F.lit("send").alias("tool_name")).alias("sink_call"), F.struct(F.struct((F.col("id") % 2 == 0).alias("lit"), (F.col("id") % 28 * day).alias("lit_at_ns")).alias("sensitive_source_touched")).alias("legs"))
+    path = str(tmp_path / "days")
+    rollups.roll_day(e.where("trip_ts_ns < 10 * 86400000000000L"), path)
+    rollups.roll_day(e.where("trip_ts_ns >= 10 * 86400000000000L"), path)
+    rollups.roll_day(e.where("trip_ts_ns < 86400000000000L"), path)  # again: nothing counts twice
+    stored = spark.read.parquet(path).drop("day")
+    merged = rollups.read_trips(rollups.merge_trips(rollups.merge_trips(stored, "week"), "month", ("verdict",)))
+    direct = rollups.read_trips(rollups.merge_trips(rollups.sketch_trips(e, "31 days"), "month", ("verdict",)))
+    total = lambda df: {r["verdict"]: r for r in df.groupBy("verdict").agg(F.sum("trips").alias("trips"), F.max("sessions").alias("sessions"), F.max("time_to_trip").alias("time")).collect()}
+    a, b = total(merged), total(direct)
+    assert {k: v["trips"] for k, v in a.items()} == {k: v["trips"] for k, v in b.items()} == {"EXFIL": 10_000, "SUSPICIOUS": 20_000}
+    assert abs(a["EXFIL"]["sessions"] - 5000) < 250 and abs(a["EXFIL"]["time"] - 15_000_000) < 600_000
+
+
 def test_annotations(log, decisions):
     out = {(r["session_id"], r["n"]): r for r in detect.annotate(log, decisions).collect()}
     assert out["literal", 3]["decision"] == "blocked" and out["literal", 3]["block_reason"] == "trifecta EXFIL: send_message"

@@ -10,8 +10,9 @@ from trailguard.plans.agent_log import SETTINGS
 from trailguard.tables import cut
 from trailguard.sources import readers
 from trailguard.sources.writers import taint_sink
+from trailguard.streaming.late import ingest_sink, late_rows, redecide
 from trailguard.streaming.ordered import correlate_stream, fuse_stream
-from trailguard.streaming.sessions import Dimensions, Drops, detect_raw_stream, detect_stream, late_rows, secrets_stream, session_ends, tag_sink, trip_counts
+from trailguard.streaming.sessions import Dimensions, Drops, detect_raw_stream, detect_stream, secrets_stream, session_ends, tag_sink, trip_counts
 
 from .scenarios import COLUMNS, NOTE, PARTS, SECRET, START, b64, call, page, read, rows, send
 
@@ -167,10 +168,52 @@ def test_session_ends_and_late_rows(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r["events"] for r in spark.table("ends").collect()) == [1, 2]
-    us = int((START + timedelta(hours=1)).timestamp() * 1_000_000)
-    cut = df.select(F.unix_micros(F.lit(START + timedelta(hours=1)))).first()[0]
-    in_time, late = late_rows(df, cut)
-    assert us and in_time.count() == 2 and late.count() == 2
+
+
+def test_late_rows_are_decided_again_with_their_sessions(spark, tmp_path):
+    raw = spark.createDataFrame(rows(), COLUMNS)
+    dims = tool_tags(spark, PLAIN), server_tags(spark, PLAIN)
+    number = lambda df: cut(detect.prepare(enrich.resolve_tags(enrich.first_event(df), *dims), PLAIN))
+    # the reading of two sessions comes an hour late
+    is_late = F.col("session_id").isin("literal", "bound_text") & (F.col("ingest_seq") == 1)
+    folder, to = str(tmp_path / "in"), str(tmp_path / "split")
+    clock = raw.limit(1).withColumns({"session_id": F.lit("~clock"), "ts": F.lit(START + timedelta(hours=3))})
+    for df in (raw.where(~is_late), clock, raw.where(is_late)):
+        df.coalesce(1).write.mode("append").parquet(folder)
+        q = spark.readStream.schema(raw.schema).parquet(folder).writeStream.foreachBatch(ingest_sink(to, 3600)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    late = late_rows(spark, to, COLUMNS)
+    log = spark.read.schema(COLUMNS).parquet(f"{to}/log").drop("batch").where("session_id <> '~clock'")
+    assert {(r["session_id"], r["ingest_seq"]) for r in late.collect()} == {("literal", 1), ("bound_text", 1)}
+    first = cut(detect.decide(number(log), PLAIN).select(*OUT))
+    whole = decided(detect.decide(number(raw), PLAIN))
+    assert decided(first) != whole and decided(redecide(log, late, first, PLAIN, number)) == whole
+
+
+def test_observed_counts_of_jobs_and_streams(spark, tmp_path):
+    e = spark.createDataFrame([("EXFIL", "proxy_variant_a", "prevented"), ("EXFIL", "proxy_variant_a", "prevented"), ("SUSPICIOUS", None, "allowed_monitor")], "verdict string, variant string, action string")
+    by = tuple(metrics.DETECTIONS)
+    df, seen = metrics.observed(e, "detections", *by, values=metrics.DETECTIONS)
+    df.write.parquet(str(tmp_path / "e"))
+    metrics.export_counters(spark, seen, "nightly", str(tmp_path / "counters"))
+    got = {r["name"]: r["value"] for r in spark.read.parquet(str(tmp_path / "counters")).where("value > 0").collect()}
+    assert got == {"nightly/detections/EXFIL|proxy_variant_a|prevented": 2, "nightly/detections/other": 1}
+    drops = Drops()
+    spark.streams.addListener(drops)
+    try:
+        stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")).observe("detections", *metrics.counts(*by, values=metrics.DETECTIONS))
+        q = stream.writeStream.format("parquet").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(60)
+        end = time.time() + 20
+        while time.time() < end and not any("detections" in s[0] for s in drops.samples):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(drops)
+    streamed = {r["name"]: r["value"] for r in drops.counters(spark).where("value > 0 and name like '%detections%'").collect()}
+    assert streamed == {"seen/detections/EXFIL|proxy_variant_a|prevented": 2, "seen/detections/other": 1}
+    for i in range(3 * Drops.MOST):
+        drops._count("r", "q", "late", i % 2)
+    assert len(drops.samples) <= Drops.MOST and drops.samples[-1][2] == 3 * Drops.MOST // 2
 
 
 def test_dimensions_keep_the_last_good_version(spark, tmp_path):

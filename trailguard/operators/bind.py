@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_bytes, grams
+from ..functions.winnow import common, gram_size, winnowed
 
 
 def content_bound(sinks: DataFrame, excerpts: DataFrame, least: int = 16) -> DataFrame:
     """session_id, n of sinks (session_id, n, epoch, text) that share `least` bytes in a row with an excerpt valid then.
 
-    A run of that length is shared exactly if one such gram is, so both sides are exploded into grams and joined on
-    (session, epoch, gram); sinks of sessions and epochs without excerpts are dropped before. The gram is hashed for the
-    shuffle and compared in full after it."""
-    e = excerpts.select("session_id", "epoch", F.col("n").alias("e_n"), "until", F.explode(grams("excerpt", least)).alias("e_gram")).withColumn("g", F.xxhash64("e_gram"))
+    Both sides are winnowed and joined on (session, epoch, gram); the bytes beside a gram tell whether the run that both
+    share is long enough. Sinks of sessions and epochs without excerpts are dropped before."""
+    beside = least - gram_size(least)
+    e = excerpts.select("session_id", "epoch", F.col("n").alias("e_n"), "until", F.encode("excerpt", "ISO-8859-1").alias("data"))
     s = sinks.where(F.col("epoch") > 0).join(excerpts.select("session_id", "epoch").distinct(), ["session_id", "epoch"], "left_semi")
-    s = s.select("session_id", "epoch", "n", F.explode(grams(as_bytes("text"), least)).alias("gram")).withColumn("g", F.xxhash64("gram"))
-    valid = (F.col("gram") == F.col("e_gram")) & (F.col("e_n") < F.col("n")) & (F.col("until").isNull() | (F.col("n") <= F.col("until")))
-    return s.join(e, ["session_id", "epoch", "g"]).where(valid).select("session_id", "n").distinct()
+    s = s.select("session_id", "epoch", "n", F.encode("text", "UTF-8").alias("data"))
+    e = winnowed(e, ["session_id", "epoch", "e_n", "until"], "data", least, beside).withColumnsRenamed({"before": "e_before", "after": "e_after"})
+    s = winnowed(s, ["session_id", "epoch", "n"], "data", least, beside)
+    valid = (F.col("e_n") < F.col("n")) & (F.col("until").isNull() | (F.col("n") <= F.col("until")))
+    pairs = s.join(e, ["session_id", "epoch", "g"]).where(valid)
+    if beside:
+        shared = common(F.col("before"), F.col("e_before"), beside, ends=True) + common(F.col("after"), F.col("e_after"), beside, ends=False)
+        pairs = pairs.where(shared >= beside)
+    return pairs.select("session_id", "n").distinct()

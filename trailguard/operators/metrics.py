@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import redact_header
@@ -16,6 +19,35 @@ def detections_total(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(_known("verdict"), _known("variant"), _known("action")).agg(F.count(F.lit(1)).alias("detections"))
 
 
+def observed(df: DataFrame, name: str, *by: str, values: dict[str, list[str]]) -> tuple[DataFrame, Observation]:
+    """df, counting as it is written the rows of each combination of known values of the columns `by` (others: `other`):
+    detections by verdict, variant and action, or deliveries by kind and status, at no job of their own. The second is read
+    after the write, by export_counters; on a stream give df.observe(name, *counts(...)) and let a Drops listener read it."""
+    seen = Observation(name)
+    return df.observe(seen, *counts(*by, values=values)), seen
+
+
+def counts(*by: str, values: dict[str, list[str]]) -> list[Column]:
+    """A count of rows for each combination of the columns' known values, named `a|b|c`, and one of all others."""
+    out, known = [], F.lit(False)
+    for combination in product(*(values[c] for c in by)):
+        here = F.coalesce(reduce(lambda a, b: a & b, [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")) == v for c, v in zip(by, combination, strict=True)]), F.lit(False))
+        known = known | here
+        out.append(F.count_if(here).alias("|".join(combination)))
+    return [*out, F.count_if(~known).alias("other")]
+
+
+DETECTIONS = {"verdict": ["EXFIL", "SUSPICIOUS"], "variant": ["proxy_variant_a", "ebpf_variant_b"], "action": ["prevented", "allowed_monitor", "contained_by_kill", "detected_only"]}
+DELIVERIES = {"kind": ["chat", "hook", "pager", "siem", "taint"], "status": ["ok", "error", "skipped"]}
+
+
+def export_counters(spark: SparkSession, seen: Observation, job: str, path: str) -> None:
+    """Append what a job observed to the table of counters: name (job/observation/metric), ts, value. Each job is a run of
+    its own, so its value is its increment."""
+    rows = [(f"{job}/{seen._name}/{k}", v) for k, v in seen.get.items()]
+    spark.createDataFrame(rows, "name string, value long").select("name", F.current_timestamp().alias("ts"), "value").write.mode("append").parquet(path)
+
+
 def deliveries_total(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("kind", F.col("status").alias("result")).agg(F.count(F.lit(1)).alias("deliveries"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DEPTH, LEAST_BYTES, MOST_BYTES, SINGLE, as_bytes, decode_layers, grams, inflated, json_leaves, plausible
+from ..functions.text import DEPTH, LEAST_BYTES, MOST_BYTES, SINGLE, as_bytes, decode_layers, inflated, json_leaves, plausible
+from ..functions.winnow import winnowed
 from ..tables import cut
 
 #: Characters by which forms and sinks are joined; extracted secrets have more.
@@ -18,13 +19,18 @@ def _matches(sinks: DataFrame, forms: DataFrame, plan: str) -> DataFrame:
     earlier = F.col("taint_n") < F.col("n")
     if plan == "contains":  # few forms per session: the session's forms are tried one by one
         return sinks.join(forms, "session_id").where(earlier & F.contains("text", "form_value"))
-    # an equi-join on the first characters of a form: a sink meets only forms that begin somewhere in it
-    anchored = forms.where(F.length("form_value") >= ANCHOR).withColumn("gram", F.substring("form_value", 1, ANCHOR))
+    # an equi-join on the gram that a form's first characters keep when winnowed: a text that holds the form keeps it too
+    keys, own = ["session_id", "n", "pos", "path"], ["session_id", "taint_n", "taint_ord", "form_ord"]
+    long, short = F.length("form_value") >= ANCHOR, F.length("form_value") < ANCHOR
+    anchored = winnowed(forms.where(long).withColumn("data", F.encode(F.substring("form_value", 1, ANCHOR), "UTF-8").substr(1, ANCHOR)), own, "data", ANCHOR)
     sessions = forms.select("session_id").distinct()
-    runs = sinks.join(sessions, "session_id", "left_semi").withColumn("gram", F.explode(grams("text", ANCHOR)))
-    long = runs.join(anchored, ["session_id", "gram"]).where(earlier & F.contains("text", "form_value")).drop("gram")
-    short = sinks.join(forms.where(F.length("form_value") < ANCHOR), "session_id").where(earlier & F.contains("text", "form_value"))
-    return long.unionByName(short)
+    runs = winnowed(sinks.join(sessions, "session_id", "left_semi").withColumn("data", F.encode("text", "UTF-8")), keys, "data", ANCHOR)
+    # texts are joined to the few pairs that are left, not carried along with every gram
+    pairs = runs.join(anchored, ["session_id", "g"]).where(earlier).drop("g", "taint_n").distinct()
+    known = forms.where(long)
+    found = pairs.join(known, ["session_id", "taint_ord", "form_ord"]).join(sinks, keys).where(F.contains("text", "form_value"))
+    other = sinks.join(forms.where(short), "session_id").where(earlier & F.contains("text", "form_value"))
+    return found.select(other.columns).unionByName(other)
 
 
 def _first(matches: DataFrame) -> DataFrame:

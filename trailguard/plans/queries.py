@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import server_tags, tool_tags
 from ..functions import render
 from ..functions.text import encoded_forms, mask, secrets, sha256
-from ..operators import detect, enrich, metrics, overlap, scenarios, taint
+from ..operators import detect, enrich, metrics, overlap, rollups, scenarios, taint
 from ..operators.bind import content_bound
 from ..operators.legs import excerpts, leg_states
 from ..sources import readers, writers
@@ -421,6 +421,21 @@ def trip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.trips_by(_evidence(spark, sf_dir), "1 day")
 
 
+@query("SELECT date_trunc('month', ts) AS window_start, verdict, count(*) AS trips, TRUE AS sessions_close, TRUE AS time_close FROM trips GROUP BY ALL", "trips")
+def trip_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days' stored sketches merged to months: trips are exact; distinct sessions and the median time to trip are held
+    against exact ones, with the sketches' error bounds."""
+    e = cut(_evidence(spark, sf_dir))
+    months = rollups.read_trips(rollups.merge_trips(cut(rollups.sketch_trips(e)), "month", ("verdict",)))
+    when = F.date_trunc("month", render.ns_to_timestamp("trip_ts_ns"))
+    waited = F.floor((F.col("trip_ts_ns") - F.col("legs.sensitive_source_touched.lit_at_ns")) / 1000)
+    rows = e.select(when.alias("window_start"), "verdict", "session_id", F.when(F.col("legs.sensitive_source_touched.lit"), waited).alias("waited"))
+    exact = rows.groupBy("window_start", "verdict").agg(F.count_distinct("session_id").alias("exact"), F.count_if(F.col("waited").isNotNull()).alias("n"), F.percentile("waited", F.array(F.lit(0.46), F.lit(0.54))).alias("around"))
+    close = F.abs(F.col("sessions") - F.col("exact")) <= F.lit(0.05) * F.col("exact") + 1
+    time = (F.col("n") == 0) | F.col("time_to_trip").between(F.floor(F.col("around")[0]) - 1, F.ceil(F.col("around")[1]) + 1)
+    return months.join(exact, ["window_start", "verdict"]).select("window_start", "verdict", "trips", close.alias("sessions_close"), time.alias("time_close"))
+
+
 @query()
 def gzip_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks whose body is gzipped and in base64."""

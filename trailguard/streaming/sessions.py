@@ -32,6 +32,7 @@ from .ordered import Ordered, packed, use_rocksdb
 INPUT = ("session_id", "ts", "ingest_seq", "plane", "kind", "syscall", "text", "source", "payload", "lights_source", "lights_untrusted", "lights_sink", "relight_sink", "can_trip")
 DECISION = "session_id string, n bigint, ingest_seq bigint, us bigint, verdict string, match_form string, where_found string, tainted_hash string, preview string, source_lit bigint, untrusted_lit bigint, sink_lit bigint"
 SECRET = "session_id string, n bigint, source string, value string, hash string, preview string"
+COUNTERS = "name string, at double, value long"
 EXCERPTS, EXCERPT_BYTES = 8, 4096
 _SPACE = " \t\n\x0b\f\r"
 
@@ -266,12 +267,6 @@ def detect_raw_stream(tools: DataFrame, syscalls: DataFrame, tool_tags: DataFram
     return detect_stream(prepare(log, settings), settings, lateness)
 
 
-def late_rows(batch: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-    """A batch split into rows in time and late ones, which go to a side table for the nightly batch run."""
-    late = F.unix_micros("ts") < watermark_us
-    return batch.where(~late), batch.where(late)
-
-
 def session_ends(events: DataFrame, idle: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
     """One row per session and run of activity once it has been idle for long enough."""
     w = F.session_window("ts", idle)
@@ -285,17 +280,17 @@ def trip_counts(decisions: DataFrame, window: str = "1 hour", lateness: str = "1
 
 
 class Dimensions:
-    """Tag tables that are read anew at the start of each micro-batch; a version that can't be read or has no tags column
-    leaves the last good one in place."""
+    """Tag tables that are read anew at the start of each micro-batch; a version that can't be read, or has a row without
+    name or tags, leaves the last good one in place."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "tool_name") -> None:
         self.spark, self.path, self.key, self.good, self.errors = spark, path, key, None, []
 
     def current(self) -> DataFrame:
         try:
-            table = self.spark.read.json(self.path)
-            if missing := {self.key, "tags"} - set(table.columns):
-                raise ValueError(f"no column {', '.join(sorted(missing))}")
+            table = self.spark.read.schema(f"{self.key} string, tags array<string>").json(self.path)
+            if not table.where(f"{self.key} is null or tags is null").isEmpty():
+                raise ValueError(f"a row without {self.key} or tags")
             self.good = table
         except Exception as e:  # noqa: BLE001  whatever is wrong with a new version, detection goes on with the old one
             self.errors.append(re.sub(r"\s+", " ", str(e))[:200])
@@ -316,32 +311,44 @@ def tag_sink(tools: Dimensions, servers: Dimensions, path: str) -> Callable[[Dat
 
 
 class Drops(StreamingQueryListener):
-    """Rows that streams dropped because they were late, and rows that they read, as counters that only grow (name, ts,
-    value), of which metrics.counter_increments tells the increments. A run of a query counts from zero."""
+    """Rows that streams dropped because they were late, rows that they read, and what they observe (DataFrame.observe), as
+    counters that only grow (name, ts, value), of which metrics.counter_increments tells the increments. A run of a query
+    counts from zero. If nobody calls counters() for long, the samples but the latest of each counter go: these count all."""
+
+    MOST = 10_000
 
     def __init__(self) -> None:
         self.totals: dict[tuple[str, str], int] = {}
         self.samples: list[tuple[str, float, int]] = []
 
+    def _count(self, run: str, name: str, what: str, n: int) -> None:
+        key = (run, what)
+        self.totals[key] = self.totals.get(key, 0) + n
+        self.samples.append((f"{name}/{what}", time.time(), self.totals[key]))
+        if len(self.samples) > self.MOST:
+            self.samples = list({s[0]: s for s in self.samples}.values())
+
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        late = sum(max(0, o.numRowsDroppedByWatermark) for o in p.stateOperators)
-        for what, n in (("late", late), ("read", max(0, p.numInputRows))):
-            run, name = (str(p.runId), what), f"{p.name or p.id}/{what}"
-            self.totals[run] = self.totals.get(run, 0) + n
-            self.samples.append((name, time.time(), self.totals[run]))
+        run, name = str(p.runId), p.name or str(p.id)
+        self._count(run, name, "late", sum(max(0, o.numRowsDroppedByWatermark) for o in p.stateOperators))
+        self._count(run, name, "read", max(0, p.numInputRows))
+        for observation, row in (p.observedMetrics or {}).items():
+            for metric, value in row.asDict().items():
+                if isinstance(value, int):
+                    self._count(run, name, f"{observation}/{metric}", value)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        for what in ("late", "read"):
-            self.totals.pop((str(event.runId), what), None)
+        for key in [k for k in self.totals if k[0] == str(event.runId)]:
+            self.totals.pop(key)
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """The samples since the last call, one row per counter and batch; the caller appends them to its table."""
         taken, self.samples = self.samples, []
-        return spark.createDataFrame(taken, "name string, at double, value long").select("name", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"), "value")
+        return spark.createDataFrame(taken, COUNTERS).select("name", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"), "value")
