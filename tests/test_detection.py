@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailguard.config import server_tags, tool_tags
 from trailguard.functions.text import grams
 from trailguard.operators import bind, detect, enrich, overlap, rollups, scenarios, taint
+from trailguard.operators.legs import Legs, leg_states
 from trailguard.plans.agent_log import SETTINGS
 from trailguard.schemas import EVIDENCE
 from trailguard.sources import writers
@@ -94,6 +95,43 @@ def test_both_overlap_plans_are_equal_and_bind_equals_brute_force(spark):
     assert sinks.select(grams("text", 8).alias("g")).where(F.size("g") > 0).count() > 0
 
 
+@pytest.mark.parametrize(("ttl", "calls", "piece"), [(1800, 32, 1 << 16), (1800, 32, 40), (300, 7, 9), (60, 32, 33), (0, 5, 6), (0, 0, 5), (200, 0, 5)])
+def test_states_of_pieces_are_those_of_the_whole_session(spark, ttl, calls, piece):
+    import random
+
+    r, rows_, want = random.Random(ttl + calls), [], set()
+    for session, n in (("a", 700), ("b", 1), ("c", 40), ("d", 333), (None, 90)):
+        fold, us = Legs(ttl * 1_000_000, calls), 0
+        rate = r.choice([0.02, 0.3, 0.9])
+        for i in range(1, n + 1):
+            us += r.choice([0, 0, 1_000_000, 20_000_000, 90_000_000])
+            lights = [r.random() < rate for _ in range(3)]
+            again = lights[2] and r.random() < 0.1
+            fold.step(i, us, lights, again)
+            rows_.append((session, i, us, *lights, again))
+            want.add((session, i, *fold.lit))
+    r.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "session_id string, n long, us long, lights_source boolean, lights_untrusted boolean, lights_sink boolean, relight_sink boolean").withColumn("ts", F.timestamp_micros("us"))
+    got = leg_states(df, ttl, calls, piece)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_a_long_session_is_many_tasks(spark):
+    n = 200_000
+    df = spark.range(1, n + 1).select(F.lit("s").alias("session_id"), F.col("id").alias("n"), F.timestamp_seconds(F.col("id") * 7).alias("ts"), (F.col("id") % 3 == 0).alias("lights_source"), (F.col("id") % 50 < 2).alias("lights_untrusted"), (F.col("id") % 11 == 0).alias("lights_sink"), (F.col("id") % 1100 == 0).alias("relight_sink"))
+    got = leg_states(df, piece=20_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one task
+    try:
+        assert got.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    fold, want = Legs(1800 * 1_000_000, 32), []
+    for i in range(1, n + 1):
+        fold.step(i, i * 7_000_000, (i % 3 == 0, i % 50 < 2, i % 11 == 0), i % 1100 == 0)
+        want.append((i, *fold.lit))
+    assert [tuple(x) for x in got.select("n", "source_lit", "untrusted_lit", "sink_lit").orderBy("n").collect()] == want
+
+
 def test_texts_that_share_a_run_keep_a_gram_of_it():
     import random
 
