@@ -181,8 +181,9 @@ def packed(keyed: DataFrame) -> DataFrame:
 
 
 def lists(spans: DataFrame) -> DataFrame:
-    """The spans of a text as lists: never more than it has words."""
-    return spans.groupBy("d", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    """The distinct spans of a text as lists: never more than it has words, however many rows repeat its doc_id and text."""
+    each = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "n")).alias("s"))
+    return each.select("d", "h", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
