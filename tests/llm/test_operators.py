@@ -348,6 +348,19 @@ def test_license_scan_of_notices_that_are_changed(spark):
     assert [(r["doc_id"], [b["first"] for b in r["base"]]) for r in sorted(license_scan.scan(phrases, phrases={"hello world": "greeting"}).collect())] == [(1, [1]), (2, [])]
 
 
+def test_licenses_within_others_are_not_labelled(spark):
+    of = {}
+    for label, text, _ in license_texts.TEMPLATES:
+        of.setdefault(label, []).append(text)
+    texts = [
+        of["cc-by-sa"][0], of["cc-by-nc"][1], of["cc-by"][0], of["bsd-3-clause"][0], of["bsd-2-clause"][0], of["bsd-3-clause"][0] + " code " * 50 + of["bsd-2-clause"][0],
+        of["bsd-3-clause"][0] * 3, of["cc-by"][0] + ". " + of["cc-by-sa"][0], license_texts.MIT + license_texts.APACHE_NOTICE, of["gpl-3"][0] + " Preamble The GNU General Public License is a free, copyleft license",
+        *[text for _, text, _ in license_texts.OPENINGS],
+    ]
+    want = [{"cc-by-sa"}, {"cc-by-nc"}, {"cc-by"}, {"bsd-3-clause"}, {"bsd-2-clause"}, {"bsd-3-clause", "bsd-2-clause"}, {"bsd-3-clause"}, {"cc-by", "cc-by-sa"}, {"mit", "apache-2"}, {"gpl-3"}]
+    assert license_labels(spark, texts) == want + [{label} for label, *_ in license_texts.OPENINGS]
+
+
 def agreeing(window, template):
     row = [0] * (len(template) + 1)
     for w in window:
@@ -365,21 +378,34 @@ def test_license_scan_equals_all_windows_compared(spark):
     texts += [" ".join(w for w in (" ".join(t for _, t, _ in r.sample(templates, 4)) + " x").split() if r.random() > 0.1 for w in [w, *r.choices(words, k=r.random() < 0.1)]) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: [(m["label"], m["first"], m["cover"]) for m in r["matches"]] for r in license_scan.scan(df, templates=templates).collect()}
+    def best_place(w, alive, t, phrases):
+        size = len(t) + len(t) // 4
+        starts = [k for k in alive if w[k] in t]
+        windows = [[j for j in alive if k <= j < k + size] for k in starts]
+        covers = [agreeing([w[j] for j in x], t) for x in windows]
+        passing = [(-c, k) for k, c in zip(starts, covers, strict=True) if c >= 0.8 * len(t) and all(f" {p} " in f" {' '.join(w[k : k + size])} " for p in phrases)]
+        if not passing:
+            return None
+        c, k = min(passing)
+        j = starts.index(k)
+        while j + 1 < len(starts) and covers[j + 1] == -c:
+            j += 1
+        own = windows[j]
+        end = next(own[e - 1] + 1 for e in range(1, len(own) + 1) if agreeing([w[x] for x in own[:e]], t) == -c)
+        return -c, starts[j], end
+
     for i, text in enumerate(texts):
-        w, want = h.alnum_words(text), []
-        for label, notice, phrases in templates:
-            t = notice.split()
-            size = len(t) + len(t) // 4
-            starts = [k for k, x in enumerate(w) if x in t]
-            covers = [agreeing(w[k : k + size], t) for k in starts]
-            passing = [(-c, k) for k, c in zip(starts, covers, strict=True) if c >= 0.8 * len(t) and all(f" {p} " in f" {' '.join(w[k : k + size])} " for p in phrases)]
-            if passing:
-                c, k = min(passing)
-                j = starts.index(k)
-                while j + 1 < len(starts) and covers[j + 1] == -c:
-                    j += 1
-                want.append((label, starts[j], -c / len(t)))
-        assert found[i] == want
+        w, want = h.alnum_words(text), {}
+        alive = list(range(len(w)))
+        while True:
+            places = {t: p for t, (_, notice, phrases) in enumerate(templates) if (p := best_place(w, alive, notice.split(), phrases))}
+            if not places:
+                break
+            t = max(places, key=lambda t: (places[t][0], places[t][0] / len(templates[t][1].split()), -t))
+            c, first, end = places[t]
+            want.setdefault(t, (templates[t][0], first, c / len(templates[t][1].split())))
+            alive = [k for k in alive if not first <= k < end]
+        assert found[i] == [want[t] for t in sorted(want)]
     assert sum(map(len, found.values())) > 50
 
 

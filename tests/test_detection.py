@@ -14,6 +14,7 @@ from trailguard.schemas import EVIDENCE
 from trailguard.sources import writers
 from trailguard.tables import cut
 
+from .corpus import CORPUS, SOFT
 from .scenarios import COLUMNS, SCENARIOS, SECRET, rows
 
 DEFAULTS = dataclasses.replace(SETTINGS, leg_ttl_s=1800)
@@ -58,6 +59,23 @@ def test_confusion_matrix(spark, decisions):
     assert "| detection rate | 100.0% |" in scenarios.report(scored)
 
 
+def test_labelled_corpus(spark):
+    """What the published report pins: 21 of 21 found, 4 of 30 soft trips, no benign EXFIL, 4 known gaps, by plane."""
+    assert len(CORPUS) == 55 and len(SOFT) == 4
+    raw = spark.createDataFrame(rows({k: v[3] for k, v in CORPUS.items()}), COLUMNS)
+    calls = enrich.prepare_syscalls(raw.where("kind = 'syscall'"), list(DEFAULTS.sensitive_paths), 1024)
+    known, audit = enrich.split_attributed(calls.withColumn("session_id", F.when(F.col("session_id") != "no_session", F.col("session_id"))))
+    log = enrich.first_event(raw.where("kind <> 'syscall'").unionByName(known))
+    log = cut(detect.prepare(enrich.resolve_tags(log, tool_tags(spark, DEFAULTS), server_tags(spark, DEFAULTS)), DEFAULTS))
+    labels = spark.createDataFrame([(k, c, p, g) for k, (c, p, g, _) in CORPUS.items()], "scenario_id string, category string, variant string, known_gap boolean")
+    scored = cut(scenarios.classify(scenarios.trips(labels, detect.decide(log, DEFAULTS))))
+    m = scenarios.confusion(scored).first()
+    assert [m[c] for c in ("tp", "fn", "known_gap", "bonus", "tn", "fp_soft", "fp_exfil")] == [21, 0, 4, 0, 26, 4, 0]
+    planes = {r["variant"]: [r[c] for c in ("tp", "fn", "known_gap", "bonus", "tn", "fp_soft", "fp_exfil")] for r in scenarios.by_plane(scored).collect()}
+    assert planes == {"ebpf_variant_b": [4, 0, 1, 0, 2, 0, 0], "proxy_variant_a": [16, 0, 3, 0, 22, 4, 0], "sensor_variant_b": [1, 0, 0, 0, 2, 0, 0]}
+    assert {r["scenario_id"] for r in scored.where("outcome = 'fp_soft'").collect()} == SOFT and audit.count() == 1
+
+
 def test_evidence_is_redacted_and_has_its_schema(spark, log, decisions, tmp_path):
     found = taint.forms(detect.session_taints(log, DEFAULTS))
     e = cut(detect.evidence(decisions, log, found))
