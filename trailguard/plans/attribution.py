@@ -10,7 +10,7 @@ from ..functions import render
 from ..functions.text import redact_header, result_text
 from ..operators import enrich, metrics, scenarios
 from .agent_log import SETTINGS, events
-from .queries import _PATHS, _REGISTRATIONS, _scenarios, query
+from .queries import _PATHS, _REGISTRATIONS, query
 
 
 def _rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -165,13 +165,6 @@ def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("raw", raw).select("conv_id", "turn", F.sha2(result_text("raw"), 256).alias("text_hash"))
 
 
-@query("""WITH s AS (SELECT conv_id, conv_id % 3 = 0 AS bad, conv_id % 9 = 0 AS gap, 'plane' || cast(conv_id % 2 AS string) AS variant, bool_or(length(text) % 11 = 0) AS exfil, bool_or(length(text) % 11 = 0 OR length(text) % 13 = 0) AS tripped FROM conversations GROUP BY conv_id),
-o AS (SELECT variant, CASE WHEN bad AND gap THEN CASE WHEN exfil THEN 'bonus' ELSE 'known_gap' END WHEN bad THEN CASE WHEN exfil THEN 'tp' ELSE 'fn' END WHEN exfil THEN 'fp_exfil' WHEN tripped THEN 'fp_soft' ELSE 'tn' END AS o FROM s)
-SELECT variant, count(*) FILTER (WHERE o = 'tp') AS tp, count(*) FILTER (WHERE o = 'fn') AS fn, count(*) FILTER (WHERE o = 'known_gap') AS known_gap, count(*) FILTER (WHERE o = 'bonus') AS bonus, count(*) FILTER (WHERE o = 'tn') AS tn, count(*) FILTER (WHERE o = 'fp_soft') AS fp_soft, count(*) FILTER (WHERE o = 'fp_exfil') AS fp_exfil FROM o GROUP BY variant""")
-def outcomes_by_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.by_plane(scenarios.classify(scenarios.trips(*_scenarios(spark, sf_dir))))
-
-
 @query("SELECT cast(conv_id AS string) AS scenario_id, count(*) AS count FROM conversations GROUP BY 1 HAVING count(*) > 1")
 def duplicate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import server_tags, tool_tags
 from ..functions import render
 from ..functions.text import encoded_forms, mask, secrets, sha256
-from ..operators import detect, enrich, metrics, overlap, rollups, scenarios, taint
+from ..operators import detect, enrich, metrics, overlap, rollups, taint
 from ..operators.bind import content_bound
 from ..operators.legs import excerpts, leg_states
 from ..sources import readers, writers
@@ -400,22 +400,6 @@ def request_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("event_id", "ts_response", "timed_out")
 
 
-@query("""WITH s AS (SELECT cast(conv_id AS string) AS scenario_id, conv_id % 3 = 0 AS bad, conv_id % 9 = 0 AS gap, 'plane' || cast(conv_id % 2 AS string) AS variant FROM (SELECT DISTINCT conv_id FROM conversations)),
-t AS (SELECT cast(conv_id AS string) AS scenario_id, bool_or(length(text) % 11 = 0) AS exfil, bool_or(length(text) % 11 = 0 OR length(text) % 13 = 0) AS tripped FROM conversations GROUP BY 1),
-o AS (SELECT CASE WHEN bad AND gap THEN CASE WHEN exfil THEN 'bonus' ELSE 'known_gap' END WHEN bad THEN CASE WHEN exfil THEN 'tp' ELSE 'fn' END WHEN exfil THEN 'fp_exfil' WHEN tripped THEN 'fp_soft' ELSE 'tn' END AS o FROM s JOIN t USING (scenario_id)),
-c AS (SELECT count(*) AS scenarios, count(*) FILTER (WHERE o = 'tp') AS tp, count(*) FILTER (WHERE o = 'fn') AS fn, count(*) FILTER (WHERE o = 'known_gap') AS known_gap, count(*) FILTER (WHERE o = 'bonus') AS bonus, count(*) FILTER (WHERE o = 'tn') AS tn, count(*) FILTER (WHERE o = 'fp_soft') AS fp_soft, count(*) FILTER (WHERE o = 'fp_exfil') AS fp_exfil FROM o)
-SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS detection_rate, CASE WHEN tn + fp_soft + fp_exfil > 0 THEN (fp_soft + fp_exfil) / (tn + fp_soft + fp_exfil) ELSE 0 END AS fp_rate_any, CASE WHEN tn + fp_soft + fp_exfil > 0 THEN fp_exfil / (tn + fp_soft + fp_exfil) ELSE 0 END AS fp_rate_exfil FROM c""")
-def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as labelled scenarios, with verdicts from their texts' lengths."""
-    return scenarios.confusion(scenarios.classify(scenarios.trips(*_scenarios(spark, sf_dir))))
-
-
-def _scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("n"), F.length("text").alias("k"), "conv_id")
-    labels = rows.select(F.col("session_id").alias("scenario_id"), F.when(F.col("conv_id") % 3 == 0, "malicious").otherwise("benign").alias("category"), (F.col("conv_id") % 9 == 0).alias("known_gap"), F.concat(F.lit("plane"), (F.col("conv_id") % 2).cast("string")).alias("variant")).distinct()
-    return labels, rows.withColumn("verdict", F.when(F.col("k") % 11 == 0, "EXFIL").when(F.col("k") % 13 == 0, "SUSPICIOUS"))
-
-
 @query("SELECT window_start, verdict, destination, count(*) AS trips, count(DISTINCT session_id) AS sessions FROM (SELECT date_trunc('day', ts) AS window_start, verdict, 'send_message' AS destination, session_id FROM trips) GROUP BY ROLLUP (window_start, verdict, destination)", "trips")
 def trip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.trips_by(_evidence(spark, sf_dir), "1 day")
@@ -456,4 +440,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("leak", F.row_number().over(w))
 
 
-from . import attribution  # noqa: E402, F401  its queries are registered here too
+from . import attribution, planes  # noqa: E402, F401  their queries are registered here too
