@@ -145,13 +145,16 @@ def timeline(trips: DataFrame, log: DataFrame) -> DataFrame:
 
 def evidence(decisions: DataFrame, log: DataFrame, forms_: DataFrame) -> DataFrame:
     """Redacted evidence records of all trips, with the fused timeline."""
-    keys = ["session_id", "n"]
+    keys, legs = ["session_id", "n"], ("source", "untrusted", "sink")
     trips = decisions.where("verdict is not null")
-    text = redact_rows(log.join(trips.select(*keys), keys, "left_semi").select(*keys, "text"), forms_, "text").withColumnRenamed("text", "_text")
-    rows = trips.join(text, keys, "left").join(timeline(trips, log), keys, "left")
-    for leg in ("source", "untrusted", "sink"):
-        at = log.select("session_id", F.col("n").alias(f"{leg}_lit"), F.struct(F.lit(True).alias("lit"), F.when(F.col("kind") != "syscall", F.col("seq")).otherwise(F.lit(0)).alias("trigger_seq"), "detail", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("lit_at_ns")).alias(f"_{leg}"))
-        rows = rows.join(at, ["session_id", f"{leg}_lit"], "left")
+    tripped = log.join(trips.select("session_id").distinct(), "session_id", "left_semi")
+    # the call's text and the events that lit the legs, by one join with the log
+    wanted = trips.select(*keys, F.explode(F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).cast("long").alias("e_n")) for role, c in (("own", "n"), *((leg, f"{leg}_lit") for leg in legs))])).alias("x")).select(*keys, "x.*")
+    lit = F.struct(F.lit(True).alias("lit"), F.when(F.col("kind") != "syscall", F.col("seq")).otherwise(F.lit(0)).alias("trigger_seq"), "detail", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("lit_at_ns"))
+    events = tripped.select("session_id", F.col("n").alias("e_n"), lit.alias("lit"), "text")
+    met = wanted.join(events, ["session_id", "e_n"]).groupBy(*keys).agg(F.max(F.when(F.col("role") == "own", F.col("text"))).alias("text"), *[F.max(F.when(F.col("role") == leg, F.col("lit"))).alias(f"_{leg}") for leg in legs])
+    text = redact_rows(met, forms_, "text").withColumnRenamed("text", "_text")
+    rows = trips.join(text, keys, "left").join(timeline(trips, tripped), keys, "left")
     dark = F.struct(F.lit(False).alias("lit"), F.lit(0).cast("long").alias("trigger_seq"), F.lit("").alias("detail"), F.lit(0).cast("long").alias("lit_at_ns"))
     of = lambda leg, name: F.coalesce(F.col(f"_{leg}"), dark).alias(name)
     syscall = F.col("kind") == "syscall"
