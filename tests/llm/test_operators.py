@@ -526,3 +526,14 @@ def test_near_links_are_all_found(spark):
     for a in want:
         for b in want:
             assert (want[a] == want[b]) == (roots.get(a, a) == roots.get(b, b))
+
+
+def test_repeated_rows_do_not_multiply_spans(spark):
+    text = " ".join(f"r{i}" for i in range(200))
+    spans = {}
+    for k in (50, 100):
+        df = spark.createDataFrame([(1, text)] * k + [(2, text)], "doc_id long, text string")
+        spans[k] = substring_dedup.repeats(df).count()
+        got = substring_dedup.remove_repeats(df).groupBy("d", "n_removed").count().collect()
+        assert {tuple(r) for r in got} == {(1, 0, k), (2, 200, 1)}
+    assert spans[50] == spans[100] <= 200

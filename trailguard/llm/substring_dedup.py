@@ -181,9 +181,8 @@ def packed(keyed: DataFrame) -> DataFrame:
 
 
 def lists(spans: DataFrame) -> DataFrame:
-    """The distinct spans of a text as lists: never more than it has words, however many rows repeat its doc_id and text."""
-    each = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "n")).alias("s"))
-    return each.select("d", "h", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"))
+    """The spans of a text as lists: of distinct spans, never more than it has words."""
+    return spans.groupBy("d", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +235,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     mixed = firsts.join(by_anchor, "anchor").select(*segment, F.col("first.d").alias("fd"), F.col("first.start").alias("fs"))
     # of rows with one doc_id and one text all are read: which is first doesn't matter
     unsure = shared.join(mixed, segment).where("d = fd and start = fs").select("d", "h", "start", "n")
-    windows = save(find_windows(keyed, save(unsure, "unsure"), window), "windows")
+    # rows that repeat a doc_id may repeat its text too, and with it every span
+    repeated = not docs.groupBy(key()).count().where("count > 1").isEmpty()
+    once = (lambda spans: spans.distinct()) if repeated else (lambda spans: spans)
+    windows = save(find_windows(keyed, save(once(unsure), "unsure"), window), "windows")
     earliest = save(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2", "first"), "earliest")
     single = windows.join(earliest, ["w1", "w2"]).where(F.struct("d", "start") > F.col("first")).select("d", "h", "start", F.lit(1).alias("n"))
-    return later.union(single)
+    return once(later.union(single))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, keep_rows: bool = True) -> DataFrame:
