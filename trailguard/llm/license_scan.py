@@ -6,7 +6,9 @@ frequencies are counted over all documents) open places, all other words only co
 n + floor(SLACK * n) words of a document; the words that agree are the longest common subsequence of window and template, so
 words put in, left out or changed cost what they are, and every mandatory phrase must stand in the window. Windows are
 compared only where an opening word lies and enough of the template's words are; none that passes is left out. A template's
-place is the first window of greatest cover, from its first word that agrees on.
+place is the first window of greatest cover, from its first word that agrees on to its last. Of templates whose places
+overlap only the one that explains most words stays (a license contains the shorter ones that it was made from); its words
+are taken out, and the others are looked for again in what is left, so they are found where they stand by themselves.
 
 Besides, base phrases are found wherever their words stand consecutively.
 
@@ -17,6 +19,7 @@ texts of any length are scanned whole, block by block; further columns don't mat
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -73,13 +76,31 @@ class Index:
         return np.where(self.vocabulary[at] == words, at, -1)
 
     def scan(self, words: np.ndarray, places: np.ndarray, terms: np.ndarray) -> dict[int, tuple[float, int]]:
-        """Best cover and place of each template that passes, in a document with index words `terms` at `places`."""
-        best: dict[int, tuple[float, int]] = {}
+        """Cover and first word of each template that stays, in a document with index words `terms` at `places`."""
+        kept: dict[int, tuple[float, int]] = {}
+        best = self.candidates(words, places, terms, None)
+        while best:
+            t = max(best, key=lambda t: (best[t][3], best[t][0], -t))
+            cover, first, end, _ = best.pop(t)
+            kept.setdefault(t, (cover, first))
+            if not best:
+                break
+            left = (places < first) | (places >= end)
+            places, terms = places[left], terms[left]
+            # further copies of t explain words too; others are looked for again where they overlap
+            again = {t, *(o for o, (_, f, e, _) in best.items() if f < end and e > first)}
+            best = {o: x for o, x in best.items() if o not in again} | self.candidates(words, places, terms, again)
+        return kept
+
+    def candidates(self, words: np.ndarray, places: np.ndarray, terms: np.ndarray, only: set[int] | None) -> dict[int, tuple[float, int, int, int]]:
+        """Best cover, its place (first word, end) and agreeing words of each template, of those in `only`, that passes."""
+        best: dict[int, tuple[float, int, int, int]] = {}
         opening = self.opens[terms]
         found: dict[int, list] = defaultdict(list)
         for place, term in zip(places[opening].tolist(), terms[opening].tolist(), strict=True):
             for t in self.postings[term]:
-                found[t].append(place)
+                if only is None or t in only:
+                    found[t].append(place)
         for t, opened in found.items():
             own = self.member[t, terms]
             at, term = places[own], terms[own]
@@ -93,14 +114,14 @@ class Index:
                     best[t] = place
         return best
 
-    def _best(self, t: int, words: np.ndarray, at: np.ndarray, terms: list[int], begins: list[int], stop: list[int]) -> tuple[float, int] | None:
+    def _best(self, t: int, words: np.ndarray, at: np.ndarray, terms: list[int], begins: list[int], stop: list[int]) -> tuple[float, int, int, int] | None:
         """Of the windows that begin at the k-th of the template's words in the document, for k in begins."""
         masks, n = self.masks[t], len(self.words[t])
         full = (1 << n) - 1
 
-        def agree(k: int) -> int:
+        def agree(k: int, end: int | None = None) -> int:
             v = full  # bit by bit the longest common subsequence: a zero for each word that agrees
-            for term in terms[k : stop[k]]:
+            for term in terms[k : stop[k] if end is None else end]:
                 u = v & masks[term]
                 v = ((v + u) | (v - u)) & full
             return n - v.bit_count()
@@ -118,7 +139,8 @@ class Index:
             return None
         while where + 1 < len(at) and agree(where + 1) == most:
             where += 1
-        return most / n, int(at[where])
+        end = bisect_left(range(stop[where]), most, lo=where + most, key=lambda e: agree(where, e))
+        return most / n, int(at[where]), int(at[end - 1]) + 1, most
 
 
 def contains(words: np.ndarray, phrase: np.ndarray) -> bool:

@@ -98,7 +98,20 @@ This Source Code Form is subject to the terms of the Mozilla Public License, v.
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
 
+#: How the long licenses begin: a file that is one of them has this, though none of the notices.
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+OPENINGS = [
+    ("apache-2", 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.', ["apache license version 2", "terms and conditions"]),
+    ("gpl-3", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}", ["gnu general public license version 3"]),
+    ("gpl-2", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF}", ["gnu general public license version 2"]),
+    ("lgpl", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}", ["gnu lesser general public license version 3"]),
+    ("lgpl", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF}", ["gnu lesser general public license version 2 1"]),
+    ("agpl-3", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}", ["gnu affero general public license version 3"]),
+    ("mpl-2", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.', ["mozilla public license version 2"]),
+]
+
 TEMPLATES = [
+    *OPENINGS,
     ("mit", MIT, ["free of charge", "without restriction"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["free of charge"]),
     ("mit", "Released under the MIT License", ["mit license"]),
