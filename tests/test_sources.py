@@ -59,6 +59,43 @@ def test_store_keeps_the_latest(spark, tmp_path):
     assert spark.read.json(writers.compact_evidence(spark, new, 0)).count() == 4
 
 
+def test_old_days_go_without_rewriting_others(spark, tmp_path):
+    path, day = str(tmp_path / "store"), 86_400_000_000_000
+    rows = spark.range(10).select(F.format_string("s%02d", "id").alias("session_id"), (F.col("id") * (day // 2)).alias("trip_ts_ns"), F.lit("EXFIL").alias("verdict"))
+    writers.append_evidence(rows, path)
+    before = {p.name for d in sorted((tmp_path / "store").glob("trip_date=*"))[2:] for p in d.iterdir()}
+    assert writers.drop_old_days(spark, path, 5) == ["1970-01-02", "1970-01-01"] and writers.drop_old_days(spark, path, 0) == []
+    kept = spark.read.json(path)
+    assert sorted(r["session_id"] for r in kept.collect()) == ["s04", "s05", "s06", "s07", "s08", "s09"]
+    assert before == {p.name for d in (tmp_path / "store").glob("trip_date=*") for p in d.iterdir()}
+    assert metrics.retain(kept.withColumn("id", F.col("session_id")), 5).count() == 5
+
+
+def test_system_calls_findings_audit_and_summaries(spark, tmp_path):
+    calls = [(1, 7, 7, "curl", "write", "1.1.1.1", 443, False, None, bytearray(b"\xff\x00x"), "s", None), (2, 8, 8, "sh", "openat", None, None, None, "/secrets/a", None, None, None)]
+    df = spark.createDataFrame(calls, "ts_mono_ns long, pid int, tid int, comm string, syscall string, dest_ip string, dest_port int, allowlisted boolean, path string, payload_excerpt binary, session_id string, extra string")
+    df.write.parquet(str(tmp_path / "calls"))
+    got = readers.syscalls(spark, str(tmp_path / "calls"))
+    assert "extra" not in got.columns and {"pod_context", "node", "start_ts"} <= set(got.columns)
+    assert [(r["syscall"], r["payload_excerpt"]) for r in got.orderBy("ts_mono_ns").collect()] == [("write", bytearray(b"\xff\x00x")), ("openat", None)]
+    # findings, of at least the verdict asked for, a line of JSON each; a batch that is run again doesn't double them
+    e = spark.createDataFrame([("a", 5_000_000_000, "EXFIL", "prevented", "proxy_variant_a", 0.95), ("b", 6_000_000_000, "SUSPICIOUS", "allowed_monitor", "proxy_variant_a", 0.6)], "session_id string, trip_ts_ns long, verdict string, action string, variant string, confidence double")
+    none = F.lit(None).cast("string")
+    e = e.withColumns({"sink_call": F.struct(F.lit("send").alias("tool_name"), none.alias("syscall"), none.alias("dest_ip")), "legs": F.struct(none.alias("x")), "value_overlap": none})
+    sink = writers.findings_sink(str(tmp_path / "ocsf"), "EXFIL")
+    sink(e, 4)
+    sink(e, 4)
+    found = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "ocsf")).select("value").collect()]
+    assert [(f["class_uid"], f["time"], f["severity"], f["finding_info"]["uid"], f["unmapped"]["confidence"]) for f in found] == [(2004, 5000, "Critical", "a-5000000000", 0.95)]
+    _, audit = enrich.split_attributed(got.withColumn("ts", F.lit("2024-01-01").cast("timestamp")))
+    for _ in range(2):
+        writers.append_audit(audit, str(tmp_path / "audit"))
+    assert [(r["kind"], r["detail"]) for r in spark.read.json(str(tmp_path / "audit")).collect()] == [("unattributed_syscall", "openat pid=8")] * 2
+    rows = spark.createDataFrame([("in", "tools/call", "send", "s", 3, "é", None, "blocked", "why"), ("out", None, None, "s", 4, None, None, None, None)], "direction string, jsonrpc_method string, tool_name string, session_id string, seq long, tool_args string, result string, decision string, block_reason string")
+    lines = [r[0] for r in rows.orderBy("seq").select(render.event_summary()).collect()]
+    assert lines == ["in tools/call send session=s seq=3 2B BLOCKED why", "out response session=s seq=4 0B"]
+
+
 def test_forwarded_taint_is_what_the_feed_takes(spark, tmp_path):
     rows = [("k8s:u1", 3, "srv/t", "acct_12345678", "h1", "acc...5678"), ("k8s:bad", 4, "srv/t", "acct_99999999", "h2", "acc...9999"), ("plain", 1, "srv/t", "acct_00000000", "h3", "p")]
     taint = spark.createDataFrame(rows, "session_id string, n long, source string, value string, hash string, preview string")

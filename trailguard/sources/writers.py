@@ -38,6 +38,25 @@ def compact_evidence(spark: SparkSession, path: str, most: int, fmt: str = "json
     return replace(kept, path, fmt, "trip_date")
 
 
+def drop_old_days(spark: SparkSession, path: str, most: int, fmt: str = "json") -> list[str]:
+    """Delete the days of the store of append_evidence before the one that holds its `most`-th latest record (0: none);
+    returns them. No day that stays is rewritten, so records that are appended meanwhile are not lost, and one that comes
+    late for a deleted day is older than all that retention keeps. Exactly `most` are had by metrics.retain when reading."""
+    if most <= 0:
+        return []
+    counts = spark.read.schema(f"{schemas.EVIDENCE}, trip_date date").format(fmt).load(path).groupBy("trip_date").count().where("trip_date is not null")
+    old, held = [], 0
+    for r in counts.orderBy(F.desc("trip_date")).collect():  # a row a day
+        if held >= most:
+            old.append(str(r["trip_date"]))
+        held += r["count"]
+    context = spark.sparkContext
+    for day in old:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/trip_date={day}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return old
+
+
 def evidence_sink(path: str, fmt: str = "json") -> Sink:
     """For foreachBatch: a batch that is run again overwrites what it wrote."""
 
