@@ -90,6 +90,21 @@ def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def written(path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once to path and read back; the scratch tables that were made for it are deleted."""
+    made: list[str] = []
+    before = _owner.set(made)
+    try:
+        out = make()
+        spark = out.sparkSession
+        with run_once(spark):
+            out.write.parquet(path)
+    finally:
+        _owner.reset(before)
+    release(spark, made)
+    return spark.read.parquet(path)
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables. Only for callers that have written all that is computed from them."""
     jvm = spark.sparkContext._jvm

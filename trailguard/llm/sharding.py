@@ -144,9 +144,10 @@ def write_shards(docs: DataFrame, path: str, dims: list[str] = ("source", "lang"
 def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts at most one apart: that law holds whatever the texts' lengths; write_shards() evens out bytes instead."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in sizes().items()])
 
     def make() -> DataFrame:
+        # texts are read once, for their sizes and checksums; all further passes are over these few columns
+        rows = save(docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in sizes().items()]), "sizes")
         placed = place(rows, ["source", "lang", "size"], ["text_crc32", "doc_id"])
         return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
