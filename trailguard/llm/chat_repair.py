@@ -5,8 +5,9 @@ A conversation of n rows is a lattice of (row, state): nothing said, system, use
 integer costs; every accepting end leads to one target of price 0. Each node has a price, never above the cost of any arc
 plus the price of its head. A path grows from an origin: while its last node's price is less than its best arc's cost plus
 head's price, the price is raised to that and the path contracted by the node; else it is extended by the best arc. At the
-target all arcs of the path are tight and the origin's price is its distance. Origins are taken at every 16th row from the
-end backwards, so paths end at rows whose prices have converged and the work grows with n, not with its square. The prices
+target all arcs of the path are tight and the origin's price is its distance. Origins are taken at every fourth row from the
+end backwards, so paths end at rows whose prices have converged and the work grows with n, not with its square; what a block
+of rows comes to, given the prices after it, is remembered. The prices
 then are dual to the cheapest edits: every arc of every cheapest sequence is tight, and following tight arcs that reach the
 target, by least letter, gives the ASCII-least one.
 
@@ -40,7 +41,7 @@ NONE, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = (USER, USER, ASSISTANT, USER)
 #: A row's code: its role's initial (0 other, 1 s, 2 u, 3 a) times 4, plus its first fault (0 none, 1 truncated, 2 blank, 3 duplicate).
 GOES, DROPPED = 2, 255
-_BLOCK = 16
+_BLOCK = 4
 _VISIBLE = "[^\\x20\\x09-\\x0D]"
 
 
@@ -51,82 +52,86 @@ def _kept(state: int, initial: int) -> int:
     return initial if initial and initial == NEXT[state] else -1
 
 
-def _arcs(codes: bytes) -> list[list[tuple[int, str, int, int]]]:
-    """By kind of row (its code, or -1 for the end) and state: cost, letter, rows passed and state after; -1: the target."""
-    out = {}
-    for code in {*codes, -1}:
-        for s in range(4):
-            arcs = [(INSERT, "I", 0, NEXT[s])]
-            if code < 0:
-                if s in (NONE, ASSISTANT):
-                    arcs.append((0, "", 0, -1))
-            else:
-                arcs.append((DELETE, "D", 1, s))
-                if code % 4 < GOES:
-                    extra = TRUNCATED * (code % 4)
-                    if (k := _kept(s, code // 4)) >= 0:
-                        arcs.append((KEEP + extra, "K", 1, k))
-                    arcs.append((REROLE + extra, "R", 1, NEXT[s]))
-            out[code, s] = sorted(arcs, key=lambda a: a[1])
-    return out
-
-
-class Auction:
-    """Prices of the lattice of a conversation, and its cheapest, ASCII-least edits."""
+@lru_cache(maxsize=None)
+def _arcs(code: int, state: int) -> tuple[tuple[int, str, int, int], ...]:
+    """Cost, letter, rows passed and state after of the edits of a row of this code (-1: after the last row) in this state, by
+    letter; state after -1: the target."""
+    arcs = [(INSERT, "I", 0, NEXT[state])]
+    if code < 0:
+        if state in (NONE, ASSISTANT):
+            arcs.append((0, "", 0, -1))
+    else:
+        arcs.append((DELETE, "D", 1, state))
+        if code % 4 < GOES:
+            extra = TRUNCATED * (code % 4)
+            if (kept := _kept(state, code // 4)) >= 0:
+                arcs.append((KEEP + extra, "K", 1, kept))
+            arcs.append((REROLE + extra, "R", 1, NEXT[state]))
+    return tuple(sorted(arcs, key=lambda a: a[1]))
 
-    def __init__(self, codes: bytes) -> None:
-        self.n, self.codes, self.arcs = len(codes), codes, _arcs(codes)
-        self.price, self.exact = array("q", bytes(8 * 4 * (self.n + 1))), bytearray(4 * (self.n + 1))
-        self.steps = 0
-        first = self.n
-        while True:
-            first = max(0, first - _BLOCK)
-            for s in range(4) if first else (NONE,):
-                self.converge(4 * first + s)
-            if not first:
-                break
-            least = min(self.price[4 * first : 4 * first + 4])  # no node of earlier rows is nearer to the target
-            low = max(0, first - _BLOCK)
-            self.price[4 * low : 4 * first] = array("q", [least]) * (4 * (first - low))
 
-    def out(self, node: int) -> list[tuple[int, str, int]]:
-        row, state = divmod(node, 4)
-        arcs = self.arcs[self.codes[row] if row < self.n else -1, state]
-        return [(cost, letter, 4 * (row + more) + after if after >= 0 else -1) for cost, letter, more, after in arcs]
-
-    def converge(self, origin: int) -> None:
-        """Run the auction until the path from origin reaches the target or a node of exact price."""
-        price, path = self.price, [origin]
-        while True:
+@lru_cache(maxsize=1 << 16)
+def _converged(codes: bytes, after: tuple[int, ...] | None) -> tuple[tuple[int, ...], int]:
+    """Prices of the nodes of a block of rows, four states a row, and the auction's steps, given the converged prices of the
+    row after the block, of which the least is 0; None: the block is the last, and has the nodes after its last row too.
+    Prices begin at 0, which no node of the block can be below."""
+    n = len(codes)
+    price, exact = [0] * (4 * n) + list(after or (0,) * 4), [False] * (4 * n) + [after is not None] * 4
+    out = [[(cost, 4 * (row + more) + state if state >= 0 else -1) for cost, _, more, state in _arcs(codes[row] if row < n else -1, s)] for row in range(n + (after is None)) for s in range(4)]
+    steps = 0
+    for origin in range(4):
+        path = [origin]
+        while path[-1] >= 0 and not exact[path[-1]]:
             node = path[-1]
-            if node < 0 or self.exact[node]:
-                break
-            self.steps += 1
-            best, to = min((cost + (price[head] if head >= 0 else 0), head) for cost, _, head in self.out(node))
+            steps += 1
+            best, to = min((cost + (price[head] if head >= 0 else 0), head) for cost, head in out[node])
             if price[node] < best:
-                price[node] = best
+                price[node] = best  # the path contracts; an origin stays
                 if len(path) > 1:
                     path.pop()
             else:
                 path.append(to)
-        for node in path:
+        for node in path:  # tight up to a converged price: converged too
             if node >= 0:
-                self.exact[node] = 1
+                exact[node] = True
+    return tuple(price[: 4 * (n + (after is None))]), steps
+
+
+class Auction:
+    """Prices of the lattice of a conversation, and its cheapest, ASCII-least edits."""
+
+    def __init__(self, codes: bytes) -> None:
+        self.n, self.codes, self.steps = len(codes), codes, 0
+        self.price = array("q", bytes(8 * 4 * (self.n + 1)))
+        first, after, least = self.n, None, 0
+        while first or after is None:
+            low = max(0, first - _BLOCK)
+            prices, steps = _converged(codes[low:first], after)
+            self.price[4 * low : 4 * low + len(prices)] = array("q", [least + p for p in prices])
+            self.steps += steps
+            least += min(prices[:4])
+            after = tuple(p - min(prices[:4]) for p in prices[:4])
+            first = low
 
     def cost(self) -> int:
         return self.price[0]
 
+    def tight(self, node: int) -> list[tuple[str, int]]:
+        row, state = divmod(node, 4)
+        heads = ((cost, letter, 4 * (row + more) + after if after >= 0 else -1) for cost, letter, more, after in _arcs(self.codes[row] if row < self.n else -1, state))
+        return [(letter, head) for cost, letter, head in heads if self.price[node] == cost + (self.price[head] if head >= 0 else 0)]
+
     def audit(self) -> Iterator[tuple[str, int, int]]:
         """Letters of the cheapest edits with the row and state before each."""
         good = bytearray(4 * (self.n + 1))
-        tight = lambda node: [(letter, head) for cost, letter, head in self.out(node) if self.price[node] == cost + (self.price[head] if head >= 0 else 0)]
         for row in range(self.n, -1, -1):
+            arcs = [self.tight(node) for node in range(4 * row, 4 * row + 4)]
             for _ in range(3):  # two insertions in a row at most are tight
-                for node in range(4 * row, 4 * row + 4):
-                    good[node] = good[node] or any(head < 0 or good[head] for _, head in tight(node))
+                for s in range(4):
+                    good[4 * row + s] = good[4 * row + s] or any(head < 0 or good[head] for _, head in arcs[s])
         node = 0
         while node >= 0:
-            letter, head = next((letter, head) for letter, head in tight(node) if head < 0 or good[head])
+            letter, head = next((letter, head) for letter, head in self.tight(node) if head < 0 or good[head])
             if letter:
                 yield letter, node // 4, node % 4
             node = head
