@@ -537,3 +537,17 @@ def test_repeated_rows_do_not_multiply_spans(spark):
         got = substring_dedup.remove_repeats(df).groupBy("d", "n_removed").count().collect()
         assert {tuple(r) for r in got} == {(1, 0, k), (2, 200, 1)}
     assert spans[50] == spans[100] <= 200
+
+
+def test_chat_records_have_several_layouts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    records = chat_format.records_of_rows(rows)
+    turns = chat_format.canonical_turns(records)
+    assert turns.select("schema_fingerprint").distinct().count() >= 3
+    told = {}
+    for r in rows.orderBy("conv_id", "turn", "role", "text").collect():
+        told.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in turns.collect()} == told
+    odd = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "assistant", "b"), (3, 0, "user", ""), (3, 1, "assistant", None), (7, 0, "system", "s"), (7, 1, "user", "u"), (7, 2, "assistant", "{\"a\":1}"), (2, None, "user", "x" * 200_000), (2, 3, "gpt", "z"), (6, 1, "user", "y")], "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat_format.canonical_turns(chat_format.records_of_rows(odd)).collect()}
+    assert got == {1: [("human", "a"), ("assistant", "b")], 3: [("user", ""), ("assistant", "")], 7: [("system", "s"), ("user", "u"), ("assistant", "{\"a\":1}")], 2: [("user", "x" * 200_000), ("gpt", "z")], 6: [("user", "y")]}

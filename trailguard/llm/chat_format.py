@@ -6,7 +6,8 @@ text). Turns are written as `<|turn|>role<|text|>text<|end|>`; in roles and text
 and of other common ones) gets a backslash after its first character, one more where it has some, so undoing takes one
 away and the text comes back exactly. The loss mask is the spans of the assistant's texts in the formatted string.
 
-Null roles and texts are empty; a record of an unknown layout has no turns and the formatted string ''; turns of equal
+Texts may be as long as a column can hold; columns besides conv_id, turn, role and text aren't read. Null roles and texts are
+empty; a record of an unknown layout has no turns and the formatted string ''; turns of equal
 number are in the order of role and text, a null number comes first; rows with a null conv_id are one conversation; an
 empty table gives no rows (the query: the added conversation only).
 """
@@ -106,10 +107,30 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:
-    """conv_id and record (JSON in the layout of numbered turns) from rows (conv_id, turn, role, text)."""
+    """conv_id and record (JSON) from rows (conv_id, turn, role, text): records of several layouts, as corpora of several
+    origins have them. Of conversations of plain roles a quarter are messages, a quarter are from-value pairs, and of the
+    exchanges of two turns (or three, with the system's first) a quarter are prompt and response; all others are numbered
+    turns, the only layout that holds any role."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(turn).alias("turns"))).alias("record"))
+    all_ = rows.groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))
+    # an order for the layouts that have none of their own
+    all_ = all_.withColumn("t", F.array_sort("turns"))
+    plain = F.forall("t", lambda x: x["role"].isin("system", "user", "assistant"))
+    kind = F.when(plain, F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))).otherwise(0)
+    roles, said = F.array_join("t.role", ","), lambda i: F.col("t.text")[i]
+    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    pairs = F.transform("t", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value")))
+    layouts = [
+        ((kind == 1), F.struct(messages.alias("messages"))),
+        ((kind == 2), F.struct(pairs.alias("conversations"))),
+        ((kind == 3) & (roles == "user,assistant"), F.struct(said(0).alias("prompt"), said(1).alias("response"))),
+        ((kind == 3) & (roles == "system,user,assistant"), F.struct(said(0).alias("system"), said(1).alias("prompt"), said(2).alias("response"))),
+    ]
+    record = F.to_json(F.struct("turns"))
+    for has, of in layouts:
+        record = F.when(has, F.to_json(of)).otherwise(record)
+    return all_.select("conv_id", record.alias("record"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
