@@ -6,8 +6,8 @@ with a row per shard. Shards hold ascending ranges of doc_id; a shard's base, th
 manifest. A task writes under a name of its own and the manifest names the files of tasks that succeeded, so retried or
 speculative tasks leave nothing that is read.
 
-Null texts are empty; a null doc_id sorts first (int64's smallest value in the file); rows with one doc_id stay, in the
-order of their texts; very long texts are encoded whole, block by block; further columns don't matter; an empty table
+Null texts are empty; a null doc_id sorts first (int64's smallest value in the file); rows with one doc_id stay, in an
+order that their texts decide; very long texts are encoded whole, block by block; further columns don't matter; an empty table
 gives a data set of no shards.
 """
 
@@ -75,7 +75,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 f.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "name": [name], "docs": [count], "ids": [at], "width": pa.array([width], pa.int32())})
 
-    ordered = docs.select(key().alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # documents that share an id are in the order of their texts' hashes, and may be dealt over several shards
+    hashed = docs.select(key().alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     # one row per shard comes to the driver: as many as partitions, however many documents
     shards = sorted((r.asDict() for r in ordered.mapInArrow(shard, MANIFEST).collect()), key=lambda r: r["shard"])
     bases = accumulate((s["ids"] for s in shards), initial=0)
