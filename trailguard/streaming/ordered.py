@@ -23,17 +23,17 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZForm
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State with timers and maps needs the RocksDB store; a store that the session has chosen itself stays."""
+    """State with timers and maps needs the RocksDB store: it is set unless the session has one already."""
     name = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(name, ""):
         spark.conf.set(name, ROCKSDB)
 
 
 def packed(events: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
-    """keys, ts, seq (the ingest number) and event, the given columns (all if none are given) as JSON. A key never is
-    null: its rows would be one group."""
+    """keys, ts, seq (the ingest number) and event, the given columns (all if none are given) as JSON. Events without a key
+    or a time have no place in any order: they don't come out."""
     event = F.to_json(F.struct(*(columns or [F.col(f"`{c}`") for c in events.columns])), _JSON)
-    return events.where(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("ingest_seq").cast("long").alias("seq"), event.alias("event"))
+    return events.where(" and ".join(f"`{k}` is not null" for k in [*keys, "ts"])).select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("ingest_seq").cast("long").alias("seq"), event.alias("event"))
 
 
 def unpacked(rows: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
