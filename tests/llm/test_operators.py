@@ -470,6 +470,34 @@ def test_class_lm_scores_equal_the_formula_and_add_up(spark, sf_dir, docs, monke
         assert got[i] == pytest.approx(want)
 
 
+def test_class_lm_counts_every_bigram(spark, sf_dir, docs):
+    import numpy as np
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    m, words = class_lm.train(texts, size=100, classes=6)  # most bigrams are of two words outside the head
+    of = {r["w"]: r["class"] for r in words.collect()}
+    hashes = {w: of[word_hash(w)] for _, t in docs for w in set(h.space_words(t))}
+    pairs, end = np.zeros((6, 6)), of[int(class_lm.END)]
+    for _, t in docs:
+        c = [end, *(hashes[w] for w in h.space_words(t)), end]
+        np.add.at(pairs, (c[:-1], c[1:]), 1)
+    assert pairs.sum() == m.n
+    assert np.allclose(m.transitions, class_lm.log_transitions(pairs) / np.log(10))
+
+
+def test_class_lm_classes_of_words_with_no_neighbour_in_the_head(spark):
+    r = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "abcd"]
+    texts = [" ".join(r.choice(kinds[k][: r.choice((15, 30))]) for _ in range(10) for k in (0, 1, 2, 3)) for _ in range(400)]
+    rare, new = [kind[15:] for kind in kinds], {0: ["u0", "u1", "u2"], 2: ["v0", "v1", "v2"]}
+    for k, ws in new.items():
+        texts += [" ".join([r.choice(kinds[0][:15]), r.choice(kinds[1][:15]), r.choice(rare[(k + 3) % 4]), w, r.choice(rare[(k + 1) % 4]), r.choice(kinds[(k + 2) % 4][:15])]) for w in ws for _ in range(30)]
+    _, words = class_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), size=61, classes=4)
+    of = {x["w"]: x["class"] for x in words.collect()}
+    own = {k: Counter(of[word_hash(w)] for w in kinds[k]).most_common(1)[0][0] for k in new}
+    assert own[0] != own[2] and all(of[word_hash(w)] == own[k] for k, ws in new.items() for w in ws)
+
+
 def test_class_lm_puts_words_of_a_kind_together(spark):
     r = random.Random(7)
     kinds = [[f"{k}{i}" for i in range(30)] for k in "abcd"]
