@@ -125,6 +125,37 @@ def test_language_id_learns_from_a_language_of_copies(spark):
     assert set(found) == {"de", "en"} and all(w in found["en"] for w in (b"one", b"two", b"three"))
 
 
+def test_language_id_counts_the_words_of_all_labelled_texts(spark, sf_dir):
+    import string
+
+    r = random.Random(3)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text is not null").select("text", "lang").collect()
+    rows += [("".join(r.choices(string.ascii_lowercase, k=8)) + " ja" * (k % 3), "xx") for k in range(30_000)]
+    want = {}
+    for text, lang in rows:
+        want.setdefault(lang, Counter()).update(language_id.letters(text).decode().split())
+    table = spark.createDataFrame([tuple(r) for r in rows], "text string, lang string")
+    got = {}
+    for x in language_id.word_counts(table).collect():
+        got.setdefault(x["lang"], Counter())[x["w"]] = x["n"]
+    assert got == {lang: words for lang, words in want.items() if words}
+    for lang, found in language_id.learn(table).items():
+        ranked = sorted(want[lang], key=lambda w: (-want[lang][w], len(w.encode()), w.encode()))
+        whole = f" {' '.join(ranked[::-1])} ".encode()
+        assert found == whole[-language_id.DICTIONARY :]
+
+
+def test_common_shingles_are_counted_over_all_texts(spark, docs):
+    import pyarrow as pa
+
+    texts = {t for _, t in docs if t}
+    want = Counter()
+    for t in texts:
+        want.update(set(simhash.shingles(pa.array([t]), 5)[0].view("int64").tolist()))
+    shingles, n = simhash.common_shingles(spark.createDataFrame(docs, "doc_id long, text string"), 5)
+    assert dict(zip(shingles.tolist(), n.tolist(), strict=True)) == {k: c for k, c in want.items() if c > 2}
+
+
 def test_substring_dedup(spark, sf_dir, docs, odd, none, twice):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in QUERIES["op3_substring_dedup"](spark, sf_dir).collect()}
     assert got == h.dedup(docs) and sum(x[1] for x in got.values()) > 0

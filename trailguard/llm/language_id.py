@@ -1,12 +1,12 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary of its own texts; a text's words (letters only, lower case) are
+Each language has a raw-content zstandard dictionary of its own words; a text's words (letters only, lower case) are
 compressed with every dictionary, in blocks, and the language whose dictionary makes it smallest is predicted. Where the
 second language is hardly larger (relative to the smaller), the text is rejected. Texts of all lengths go the same way.
 
-Learning reads a bounded sample of labelled rows: about `sample` documents per language, those whose hash is smallest
-under a threshold from the language's count of distinct texts, and of each an excerpt of at most `excerpt` characters, until a dictionary
-has `dictionary` bytes. Prediction reads whole texts, and nothing but texts.
+Learning counts the words of all labelled rows, whole texts and every copy, by language. A dictionary has the most frequent
+words of its language, of equal counts the shorter ones first, as many as `dictionary` bytes hold; the most frequent stand
+last, where references to them are shortest. Prediction reads whole texts, and nothing but texts.
 
 Null texts and texts without letters are `und` with score 0, as is everything where no row is labelled. Rows with one
 doc_id are predicted each by itself. Ties go to the language that sorts first. Very long texts are compressed whole, block
@@ -16,19 +16,21 @@ by block; further columns of any name travel in a struct; an empty table gives n
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_row, table, with_row
+from .common import as_row, blocks, save, settled, table, with_row
 
 UNKNOWN = "und"
-SAMPLE, EXCERPT, DICTIONARY = 400, 2000, 96 << 10
+DICTIONARY = 96 << 10
+#: Words that a task counts before it hands them on.
+HELD = 400_000
 #: Bytes compressed at once: the dictionary stays the larger part of what a block can refer to.
 BLOCK = 4096
 #: A text is rejected where the second size exceeds the smallest by less than this share.
@@ -41,22 +43,50 @@ def letters(text: str) -> bytes:
     return f" {' '.join(_WORD.findall(text.lower()))} ".encode()
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, dictionary: int = DICTIONARY) -> dict[str, bytes]:
-    """Dictionaries by language from rows (text, lang): at most languages x about `sample` excerpts reach the driver."""
-    rows = labelled.where("lang is not null and length(trim(text)) > 0")
-    # distinct texts: however many copies there are, a threshold by hash takes a text or leaves it
-    counts = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """lang, w, n: how often each language has each word in all rows (text, lang); words as of `letters`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def counted() -> pa.RecordBatch:
+            of = [lang for lang, words in held.items() for _ in words]
+            out = [pa.array(of, pa.string()), pa.array([w for words in held.values() for w in words], pa.string())]
+            out.append(pa.array([n for words in held.values() for n in words.values()], pa.int64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, ["lang", "w", "n"])
+
+        for block in (block for batch in batches for block in blocks([batch])):
+            for lang, text in zip(block.column(0).to_pylist(), block.column(1), strict=True):
+                held[lang].update(_WORD.findall(text.as_py().lower()))
+            if sum(map(len, held.values())) > HELD:
+                yield counted()
+        yield counted()
+
+    found = labelled.where("lang is not null").select("lang", "text").mapInArrow(rows, "lang string, w string, n long")
+    return found.groupBy("lang", "w").agg(F.sum("n").alias("n"))
+
+
+def learn(labelled: DataFrame, dictionary: int = DICTIONARY) -> dict[str, bytes]:
+    """Dictionaries by language from rows (text, lang): at most languages x dictionary bytes of words reach the driver."""
+    spark = labelled.sparkSession
+    counts = save(word_counts(labelled), "words").withColumn("step", F.floor(F.log2("n") * 8).cast("int")).withColumn("bytes", F.octet_length("w") + 1)
+    # the step at which a language's dictionary is full; of a word at that step, or above it, the rank decides
+    left: dict[str, int] = {}
+    least: dict[str, int] = {}
+    for r in sorted(counts.groupBy("lang", "step").agg(F.sum("bytes").alias("bytes")).collect(), key=lambda r: -r["step"]):
+        if left.setdefault(r["lang"], dictionary) > 0:
+            left[r["lang"]] -= r["bytes"]
+            least[r["lang"]] = r["step"]
+    if not least:
         return {}
-    share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]), F.col("lang"))
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    # an excerpt from the middle of a text, where it begins depends on the text alone
-    begin = F.lit(1) + F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int")
-    picked = rows.where(h < share * (1 << 40)).select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(excerpt)).alias("text")).distinct().collect()
-    texts: dict[str, list] = defaultdict(list)
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
-        texts[r["lang"]].append(letters(r["text"]))
-    return {lang: b"\n".join(parts)[-dictionary:] for lang, parts in sorted(texts.items())}
+    steps = F.broadcast(spark.createDataFrame(list(least.items()), "lang string, least int"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bytes", "w"))
+    likely = counts.join(steps, "lang").where("step >= least").select("lang", "w", "n", rank.alias("rank")).where(F.col("rank") <= dictionary // 2)
+    words: dict[str, list] = defaultdict(list)
+    for r in sorted(likely.collect(), key=lambda r: (r["lang"], -r["rank"])):
+        words[r["lang"]].append(r["w"])
+    return {lang: f" {' '.join(found)} ".encode()[-dictionary:] for lang, found in words.items()}
 
 
 class Classifier:
@@ -115,6 +145,10 @@ def bucket(name: str, n: int) -> Column:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dictionaries = learn(docs.where(bucket("doc_id", 5) != 0).select("text", "lang"))
-    found = identify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("row.doc_id", (bucket("row.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+    def predicted() -> DataFrame:
+        dictionaries = learn(docs.where(bucket("doc_id", 5) != 0).select("text", "lang"))
+        found = identify(docs.select("doc_id", "text"), dictionaries)
+        return found.select("row.doc_id", (bucket("row.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+    return settled("predicted", predicted)

@@ -28,8 +28,8 @@ from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, run_once, s
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
-#: The share of the texts that tells which shingles are common, and how many of these, the most common, are ordered.
-SHARE, COMMON = 0.25, 500_000
+#: How many shingles, the most common, are ordered by frequency.
+COMMON = 500_000
 #: Words of 64 bits in a text's parity bits.
 PARITY = 8
 _ASCII_LOWER = LOWER.tobytes()
@@ -83,8 +83,8 @@ def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of a share of the texts, sorted, and how many of these have each. They only set the order in which prefixes take
-    shingles: every order gives the same links, one by frequency the fewest candidates."""
+    """The most common shingles of all texts, sorted, and how many distinct texts have each. They only set the order in which
+    prefixes take shingles: every order gives the same links, one by frequency the fewest candidates."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -96,8 +96,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
 
-    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(int(SHARE * (1 << 30))))
-    counts = picked.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    counts = docs.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     with run_once(docs.sparkSession):
         found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
