@@ -156,6 +156,31 @@ def test_common_shingles_are_counted_over_all_texts(spark, docs):
     assert dict(zip(shingles.tolist(), n.tolist(), strict=True)) == {k: c for k, c in want.items() if c > 2}
 
 
+def test_shingle_cells_count_all_shingles_of_all_texts(spark, docs):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [*dict(docs).values(), None, "", " ".join(f"w{k}" for k in range(200_000))]
+    want = np.zeros(simhash.CELLS, np.int64)
+    for t in set(texts) - {None}:
+        h = np.unique(simhash.shingles(pa.array([t]), 5)[0]).view(np.int64)
+        want += np.bincount(h & (simhash.CELLS - 1), minlength=simhash.CELLS)
+    rows = [(i, t) for i, t in enumerate(texts * 300) if i < len(texts) or i % 7 == 0 and len(t or "") < 1000]
+    got = simhash.shingle_cells(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert np.array_equal(got, want) and want.max() > 1
+    assert not simhash.shingle_cells(spark.createDataFrame([], "doc_id long, text string"), 5).any()
+
+
+def test_prefixes_leave_out_a_templates_shingles_however_many_are_common(spark, monkeypatch):
+    from .test_pipeline import form_texts
+
+    monkeypatch.setattr(simhash, "COMMON", 10, raising=False)  # stands for a corpus with more common shingles than a list holds
+    rows = list(form_texts(100, random.Random(6)).items())
+    prints = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3, 5, 0.8)
+    shared = prints.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 20").count()
+    assert shared < 20
+
+
 def test_substring_dedup(spark, sf_dir, docs, odd, none, twice):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in QUERIES["op3_substring_dedup"](spark, sf_dir).collect()}
     assert got == h.dedup(docs) and sum(x[1] for x in got.values()) > 0

@@ -28,8 +28,8 @@ from .common import LOWER, NOT_SPACE, Runs, Words, blocks, key, mix, run_once, s
 
 #: A pair of similarity 0.8 has a band in common with probability 1 - (1 - 0.8^5)^16 = 0.998, one of 0.9 all but surely.
 BANDS, ROWS = 16, 5
-#: How many shingles, the most common, are ordered by frequency.
-COMMON = 500_000
+#: Shingles are counted by so many values of their hashes, a power of two, in so many parts.
+CELLS, PARTS = 1 << 22, 256
 #: Words of 64 bits in a text's parity bits.
 PARITY = 8
 _ASCII_LOWER = LOWER.tobytes()
@@ -55,7 +55,7 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, shingle: int, words: int = 0, similarity: float = 1.0) -> DataFrame:
     """doc (the doc_id as a key), fp (the fingerprint as a signed long), sum (a hash of the text) of all documents (doc_id,
     text). Where `words` isn't 0 also bands, size, prefix and parity of their shingles of that many words."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words) if words else None)
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_cells(docs, words) if words else None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 0, similarity: floa
             columns = [block.column(0), pa.array(fp.view(np.int64)), block.column(2)]
             if words:
                 h, at = shingles(block.column(1), words)
-                columns += [band_hashes(h, at), *prefixes(h, at, similarity, *common.value)]
+                own = np.unique(h.view(np.int64))
+                columns += [band_hashes(h, at), *prefixes(h, at, similarity, own, counts.value[own & (CELLS - 1)])]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc long, fp long, sum long" + (", bands array<long>, size int, prefix array<long>, parity array<long>" if words else "")
@@ -82,24 +83,70 @@ def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return Runs(w.hash).hash(start, np.minimum(start + words, np.repeat(w.first[1:], count))), at
 
 
+def _of_texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """The shingles of each block of texts, every text's distinct ones."""
+    for block in blocks(batches):
+        h, at = shingles(block.column(0), words)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        yield h[new].view(np.int64)
+
+
+def shingle_cells(docs: DataFrame, words: int) -> np.ndarray:
+    """By the last bits of a shingle's hash, how many distinct texts have it, all shingles of all texts counted: those that
+    share a cell add up, so none seems rarer than it is. The counts only set the order in which prefixes take shingles:
+    every order gives the same links, one by frequency the fewest candidates. A task sums its own texts and hands on
+    compressed counts, so what is shuffled is a few bits a cell and task, and the driver gets CELLS counts."""
+    codec, width = "zstd", CELLS // PARTS
+
+    def packed(part: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+        # the bytes of one place stand together: the upper ones are mostly zero
+        n = [pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), codec, asbytes=True) for x in counts]
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.binary())], ["part", "n"])
+
+    def unpacked(n: bytes) -> np.ndarray:
+        planes = np.frombuffer(pa.decompress(n, 4 * width, codec, asbytes=True), np.uint8)
+        return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, "<u4")
+        for h in _of_texts(batches, words):
+            cell, times = np.unique(h & (CELLS - 1), return_counts=True)
+            n[cell] += times.astype("<u4")
+        parts = n.reshape(PARTS, width)
+        some = np.flatnonzero(parts.any(axis=1)).tolist()
+        yield packed(some, [parts[k] for k in some])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, np.uint32(0)) + unpacked(n.as_py())
+        yield packed(list(sums), list(sums.values()))
+
+    parts = docs.select("text").distinct().mapInArrow(counted, "part int, n binary").repartition("part").mapInArrow(added, "part int, n binary")
+    cells = np.zeros((PARTS, width), np.int64)
+    with run_once(docs.sparkSession):
+        for r in parts.collect():
+            cells[r["part"]] = unpacked(r["n"])
+    return cells.ravel().astype(np.uint32)
+
+
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of all texts, sorted, and how many distinct texts have each. They only set the order in which
-    prefixes take shingles: every order gives the same links, one by frequency the fewest candidates."""
+    """The shingles that over two texts have, sorted, and how many distinct texts have each: exact, and all of them come to
+    the caller, so for small tables. `shingle_cells` counts those of large ones."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            h, at = shingles(block.column(0), words)
-            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            order = np.lexsort((h, text))
-            h, text = h[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
+        for h in _of_texts(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
 
     counts = docs.select("text").distinct().mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     with run_once(docs.sparkSession):
-        found = counts.orderBy(F.desc("n")).limit(COMMON).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+        found = counts.toArrow().sort_by("h")
+    return found["h"].to_numpy(), found["n"].to_numpy()
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
