@@ -92,6 +92,12 @@ def test_render(spark):
     assert value(spark, t.redact_header("v"), v="Bearer abcdef") == "Bear…[REDACTED]"
 
 
+def test_milliseconds_are_exact(spark):
+    for ms in range(1705969041660, 1705969041668):
+        assert [value(spark, render.ns_to_ms("v"), v=ms * 1_000_000 + ns) for ns in (0, 1, 999_999)] == [ms] * 3
+    assert value(spark, render.ns_to_ms("v"), v=-1_500_000) == -1  # as integers divide in SQL
+
+
 def test_settings():
     assert config.Settings(max_records=0, payload_capture_bytes=9).max_records == 1000
     assert config.Settings(payload_capture_bytes=5000).payload_capture_bytes == 1024
